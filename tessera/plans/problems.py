@@ -114,7 +114,7 @@ SELECT DISTINCT * FROM inside UNION ALL SELECT DISTINCT * FROM near""",
 
 _WORD = r"[\p{L}\p{M}\p{N}]"
 _SEP = r"\p{P}\p{S}\p{Cc}"
-_G = ("", "", "")  # stand for a hyphen, an apostrophe and an ampersand inside a name
+_G = ("\ue001", "\ue002", "\ue003")  # stand for a hyphen, an apostrophe and an ampersand inside a name
 
 
 def _guarded(x: str) -> str:
