@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, cooccur, distinctive, lookalike
+from tessera.llm import bpe, clusters, cooccur, distinctive, lookalike, mixing
 from tessera.sources.tables import table
 
 
+def _clusters(spark: SparkSession, d: str) -> clusters.Clusters:
+    return clusters.Clusters(table(spark, d, "pokemon").select("pokemon_id", "pokemon_stats", "pokemon_effectiveness"), "pokemon_id", [("pokemon_stats", 6), ("pokemon_effectiveness", 18)])
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _clusters(spark, d).members()
+
+
+def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return _clusters(spark, d).described()
+
+
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     held = cooccur.replaced(table(spark, d, "ratings").select("user_id", "product"), "product", table(spark, d, "artist_alias"), "bad_id", "good_id")
     return cooccur.item_pairs(held, "user_id", "product", min_support=20, min_lift=10.0)
@@ -34,6 +46,18 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents").select("doc_id", "text"), "text")
 
 
+def _mix(spark: SparkSession, d: str) -> mixing.Mix:
+    return mixing.Mix(table(spark, d, "documents").select("doc_id", "text", "source"), table(spark, d, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).rows()
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).shares()
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, d, "documents"), "doc_id", "text")
 
@@ -42,7 +66,7 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.consistent_form(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p3_pairs": p3_pairs, "p6_found": p6_found, "p6_scores": p6_scores, "p8_ids": p8_ids, "p10_found": p10_found, "p10_forms": p10_forms}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p3_pairs": p3_pairs, "p6_found": p6_found, "p6_scores": p6_scores, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_forms": p10_forms}
 
 _HELD = """
 WITH names AS (SELECT bad_id, min(good_id) AS good_id FROM artist_alias WHERE bad_id IS NOT NULL AND good_id IS NOT NULL GROUP BY bad_id),
