@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.durable import durable
+
 # Letters of other scripts that look like a Latin letter, and that letter.
 LOOKALIKES = {
     # Cyrillic
@@ -77,16 +79,16 @@ def variants(df: DataFrame, key: str, text: str) -> DataFrame:
     return once.select("digest", looks(F.col("t")).alias("looks"), "rep", "copies")
 
 
-def look_classes(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(digest, rep, copies, class_id, variants): each different text with its class, whose id is the least id of its texts."""
-    v = variants(df, key, text)
-    return df.sparkSession.sql(
+def look_classes(v: DataFrame) -> DataFrame:
+    """(digest, rep, copies, class_id): the texts of ``variants`` that look like another one, with their class, whose id is the
+    least id of its texts."""
+    return v.sparkSession.sql(
         """
         WITH classes AS (
-          SELECT collate(looks, 'UNICODE') AS form, min(rep) AS class_id, count(*) AS variants
-          FROM {v} GROUP BY collate(looks, 'UNICODE')
+          SELECT collate(looks, 'UNICODE') AS form, min(rep) AS class_id
+          FROM {v} GROUP BY collate(looks, 'UNICODE') HAVING count(*) > 1
         )
-        SELECT v.digest, v.rep, v.copies, c.class_id, c.variants
+        SELECT v.digest, v.rep, v.copies, c.class_id
         FROM {v} AS v JOIN classes AS c ON collate(v.looks, 'UNICODE') = c.form
         """,
         v=v,
@@ -100,14 +102,13 @@ def consistent_form(df: DataFrame, key: str, text: str, form: str = "form", clas
     with a null id come out with a null class.
     """
     rows = df.select(F.col(key).alias("__k"), F.col(text).alias("__t"), F.md5(F.col(text)).alias("digest"))
-    c = look_classes(df, key, text)
-    # Only classes of several texts need the text of another row.
-    many = c.where("variants > 1").select("digest", "class_id")
-    heads = c.where("variants > 1 and rep = class_id").select(F.col("rep").alias("__k"), "class_id").join(rows.select("__k", F.col("__t").alias("form")), "__k").groupBy("class_id").agg(F.min("form").alias("form"))
-    alone = c.where("variants = 1").select("digest", F.col("class_id"), F.lit(None).cast("string").alias("form"))
-    told = many.join(heads, "class_id").select("digest", "class_id", "form").unionByName(alone)
+    v = durable(variants(df, key, text))
+    c = durable(look_classes(v))
+    # Only a class of several texts needs the text of another row.
+    heads = c.where("rep = class_id").select(F.col("rep").alias("__k"), "class_id").join(rows.select("__k", F.col("__t").alias("form")), "__k").groupBy("class_id").agg(F.min("form").alias("form"))
+    told = v.select("digest", "rep").join(c.join(heads, "class_id").select("digest", "class_id", "form"), "digest", "left")
     out = rows.join(told, "digest", "left")
-    return out.select(F.col("__k").alias(key), F.when(F.col("__k").isNotNull(), F.col("class_id")).alias(class_id), F.coalesce("form", "__t").alias(form))
+    return out.select(F.col("__k").alias(key), F.when(F.col("__k").isNotNull(), F.coalesce("class_id", "rep")).alias(class_id), F.coalesce("form", "__t").alias(form))
 
 
 def lookalike_pairs(df: DataFrame, key: str, text: str, a: str = "doc_a", b: str = "doc_b", full: int = 10_000) -> DataFrame:
@@ -116,7 +117,7 @@ def lookalike_pairs(df: DataFrame, key: str, text: str, a: str = "doc_a", b: str
     Two texts with up to ``full`` pairs of copies give all of them. Beyond that each copy is paired with the least id of the other
     text, which keeps a link between any two different texts and grows with the rows, not with their square.
     """
-    c = look_classes(df, key, text).where("variants > 1")
+    c = durable(look_classes(durable(variants(df, key, text))))
     left = c.select("class_id", F.col("digest").alias("da"), F.col("rep").alias("ra"), F.col("copies").alias("na"))
     right = c.select("class_id", F.col("digest").alias("db"), F.col("rep").alias("rb"), F.col("copies").alias("nb"))
     links = left.join(right, "class_id").where("ra < rb").drop("class_id")
