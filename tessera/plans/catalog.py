@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import problems
+from tessera.plans import problems, texts
 
-_PARTS = (problems,)
+_PARTS = (problems, texts)
 
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 SQL = {k: v for part in _PARTS for k, v in part.SQL.items()}
