@@ -37,8 +37,13 @@ class SpikeRules:
     min_scale: float = 0.5
 
 
-def _mad(x: np.ndarray) -> float:
-    return float(np.median(np.abs(x - np.median(x)))) * 1.4826 if len(x) else 0.0
+def _spread(x: np.ndarray) -> float:
+    """A standard deviation that a tenth of the values cannot move: from the median deviation, or from the ninth tenth where half of
+    the values are the same."""
+    if not len(x):
+        return 0.0
+    off = np.abs(x - np.median(x))
+    return max(float(np.median(off)) * 1.4826, float(np.quantile(off, 0.9)) / 1.645)
 
 
 def _resolution(y: np.ndarray) -> float:
@@ -54,15 +59,15 @@ def kalman_innovations(hours: np.ndarray, y: np.ndarray, threshold: float, max_r
     if n < 8:
         return z, flag
     # Noise and drift from the robust spread of differences at distance one and two: v1 = 2 r + q, v2 = 2 r + 2 q.
-    v1, v2 = _mad(y[1:] - y[:-1]) ** 2, _mad(y[2:] - y[:-2]) ** 2
-    low = floor * floor
+    v1, v2 = _spread(y[1:] - y[:-1]) ** 2, _spread(y[2:] - y[:-2]) ** 2
+    low = max(floor * floor, 1e-12)
     r = max(v1 - v2 / 2, v1 * 0.1, low)
     q = max(v2 - v1, v1 * 0.02, low * 0.05)
     w = 2 * np.pi / period_h
     cs, sn = np.cos(w * hours).tolist(), np.sin(w * hours).tolist()
     dt = np.clip(np.diff(hours, prepend=hours[0]), 0, 10 * period_h).tolist()
     ys = y.tolist()
-    spread = max(_mad(y) ** 2, 4 * r)
+    spread = max(_spread(y) ** 2, 4 * r)
     scale2 = 1.0
     for turn in range(2):
         a, b, c = float(np.median(y[:24])), 0.0, 0.0
@@ -108,7 +113,7 @@ def kalman_innovations(hours: np.ndarray, y: np.ndarray, threshold: float, max_r
             pcc -= kc * gc
         z, flag = np.array(zs), np.array(flags)
         if turn == 0:  # the forecasts' own robust spread corrects the scale
-            scale2 = max(_mad(z[min(24, n // 4) :]) ** 2, 1e-6)
+            scale2 = max(_spread(z[min(24, n // 4) :]) ** 2, 1e-6)
             if r * scale2 < low:
                 scale2 = low / r
     return z, flag
@@ -183,8 +188,10 @@ def implausible_readings(
                 still &= v != exempt[c]
             hit = there[spike | still]
             hit = hit[core[hit]]
-            out.append(pd.DataFrame({"__source": k[0], "__at": pdf["__at"].to_numpy()[hit], "__field": c, "__value": y[hit]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"__source": [], "__at": [], "__field": [], "__value": []})
+            if len(hit):
+                out.append(pd.DataFrame({"__source": k[0], "__at": pdf["__at"].to_numpy()[hit], "__field": c, "__value": y[hit]}))
+        none = pd.DataFrame({"__source": pd.Series(dtype=object), "__at": pd.Series(dtype="datetime64[us]"), "__field": pd.Series(dtype=object), "__value": pd.Series(dtype=float)})
+        return pd.concat(out, ignore_index=True) if out else none
 
     flagged = halo.groupBy("__source", "__block").applyInPandas(judge, "__source string, __at timestamp_ntz, __field string, __value double").distinct()
     value = F.coalesce(*(F.when(F.col("__field") == c, F.col(c)) for c in fields))
