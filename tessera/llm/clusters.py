@@ -56,20 +56,42 @@ class Mixture:
     def copy(self, **changes) -> Mixture:
         return Mixture(**({k: getattr(self, k) for k in self.__dataclass_fields__} | changes))
 
-    def log_joint(self, x: np.ndarray) -> np.ndarray:
-        """log(weight * density) of each row and component; the noise is the last column. ``x`` is reduced."""
-        d, k = x.shape[1], len(self.weight)
-        out = np.empty((len(x), k + 1))
-        for j in range(k):
-            low = np.linalg.cholesky(self.cov[j])
-            y = np.linalg.solve(low, (x - self.mean[j]).T) if len(x) else np.empty((d, 0))
-            out[:, j] = np.log(self.weight[j]) - 0.5 * (y * y).sum(axis=0) - np.log(np.diag(low)).sum() - 0.5 * d * np.log(2 * np.pi)
+    def prepared(self) -> tuple:
+        """(inverse factors, log constants, reach) of the components: beyond its reach, squared, a component is below the noise by
+        a factor that no double tells from 0."""
+        d = self.mean.shape[1]
+        low = np.linalg.cholesky(self.cov) if len(self.weight) else np.empty((0, d, d))
+        const = np.log(self.weight) - np.log(np.diagonal(low, axis1=1, axis2=2)).sum(axis=1) - 0.5 * d * np.log(2 * np.pi)
+        widest = np.linalg.eigvalsh(self.cov)[:, -1] if len(self.weight) else np.empty(0)
+        reach = 2 * widest * np.maximum(const - np.log(max(self.noise, 1e-12)) - self.log_noise + 40, 0)
+        return np.linalg.inv(low) if len(low) else low, const, reach
+
+    def log_joint(self, x: np.ndarray, ready: tuple | None = None) -> np.ndarray:
+        """log(weight * density) of each row and component; the noise is the last column. ``x`` is reduced.
+
+        A component is worked out only for rows within its reach, so the cost follows the components near a row.
+        """
+        factor, const, reach = ready or self.prepared()
+        k = len(self.weight)
+        out = np.full((len(x), k + 1), -np.inf)
         out[:, k] = np.log(max(self.noise, 1e-12)) + self.log_noise
+        if k and len(x):
+            apart = (x * x).sum(axis=1)[:, None] - 2 * (x @ self.mean.T) + (self.mean * self.mean).sum(axis=1)
+            near = apart <= reach + 1e-9
+            for j in np.flatnonzero(near.any(axis=0)):
+                rows = np.flatnonzero(near[:, j])
+                y = (x[rows] - self.mean[j]) @ factor[j].T
+                out[rows, j] = const[j] - 0.5 * (y * y).sum(axis=1)
         return out
 
-    def shares(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def chunks(self, n: int) -> Iterator[slice]:
+        """Slices of n rows such that a matrix of rows by components stays small."""
+        step = max(64, 2_000_000 // (len(self.weight) + 1))
+        return (slice(i, min(i + step, n)) for i in range(0, n, step))
+
+    def shares(self, x: np.ndarray, ready: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(responsibilities, log density) of each row."""
-        joint = self.log_joint(x)
+        joint = self.log_joint(x, ready)
         top = joint.max(axis=1, keepdims=True)
         e = np.exp(joint - top)
         total = e.sum(axis=1, keepdims=True)
@@ -149,20 +171,23 @@ def _em_pass(cells: DataFrame, m: Mixture) -> tuple[np.ndarray, np.ndarray, np.n
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mix = model.value
+        ready = mix.prepared()
         mass, one, two, tail = np.zeros(k), np.zeros((k, d)), np.zeros((k, len(upper[0]))), np.zeros(2)
         for pdf in batches:
             if not len(pdf):
                 continue
-            w, x = pdf["w"].to_numpy(), _matrix(pdf["z"]) @ mix.project
-            r, log = mix.shares(x)
-            r *= w[:, None]
-            tail += [r[:, k].sum(), (w * log).sum()]
-            for j in range(k):
-                at = np.flatnonzero(r[:, j] > 1e-9)
-                rj, xj = r[at, j], x[at]
-                mass[j] += rj.sum()
-                one[j] += rj @ xj
-                two[j] += ((xj * rj[:, None]).T @ xj)[upper]
+            all_w, all_x = pdf["w"].to_numpy(), _matrix(pdf["z"]) @ mix.project
+            for part in mix.chunks(len(all_w)):
+                w, x = all_w[part], all_x[part]
+                r, log = mix.shares(x, ready)
+                r *= w[:, None]
+                tail += [r[:, k].sum(), (w * log).sum()]
+                for j in np.flatnonzero((r[:, :k] > 1e-9).any(axis=0)):
+                    at = np.flatnonzero(r[:, j] > 1e-9)
+                    rj, xj = r[at, j], x[at]
+                    mass[j] += rj.sum()
+                    one[j] += rj @ xj
+                    two[j] += ((xj * rj[:, None]).T @ xj)[upper]
         out = [(j, [mass[j], *one[j], *two[j]]) for j in range(k) if mass[j] > 0]
         yield pd.DataFrame([*out, (-1, tail.tolist())], columns=["k", "a"])
 
@@ -198,21 +223,29 @@ def _parameters(mass: np.ndarray, d: int) -> np.ndarray:
 
 def _merged(m: Mixture, rules: MixtureRules) -> Mixture:
     """Components whose means are not apart become one."""
-    weight, mean, cov = list(m.weight), list(m.mean), list(m.cov)
-    j = 0
-    while j < len(weight):
-        near = [i for i in range(j) if np.sum((mean[i] - mean[j]) ** 2) < rules.apart**2]
-        if near:
-            i = near[0]
-            a, b = weight[i] / (weight[i] + weight[j]), weight[j] / (weight[i] + weight[j])
-            mid = a * mean[i] + b * mean[j]
-            cov[i] = a * (cov[i] + np.outer(mean[i] - mid, mean[i] - mid)) + b * (cov[j] + np.outer(mean[j] - mid, mean[j] - mid))
-            weight[i], mean[i] = weight[i] + weight[j], mid
-            del weight[j], mean[j], cov[j]
-            j = i  # the moved mean may now be near another
-        else:
-            j += 1
-    return m.copy(weight=np.array(weight), mean=np.array(mean).reshape(-1, m.project.shape[1]), cov=np.array(cov).reshape(-1, m.project.shape[1], m.project.shape[1]))
+    k, d = m.mean.shape
+    root = np.arange(k)
+    for part in m.chunks(k):
+        gap = (m.mean[part] ** 2).sum(axis=1)[:, None] - 2 * m.mean[part] @ m.mean.T + (m.mean**2).sum(axis=1)
+        for i, j in np.argwhere(gap < rules.apart**2):
+            a, b = i + part.start, j
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            root[max(a, b)] = min(a, b)
+    for j in range(k):  # a root stands before what hangs on it
+        root[j] = root[root[j]]
+    heads, at = np.unique(root, return_inverse=True)
+    if len(heads) == k:
+        return m
+    weight = np.bincount(at, m.weight)
+    share = m.weight / weight[at]
+    mean, cov = np.zeros((len(heads), d)), np.zeros((len(heads), d, d))
+    np.add.at(mean, at, share[:, None] * m.mean)
+    off = m.mean - mean[at]
+    np.add.at(cov, at, share[:, None, None] * (m.cov + off[:, :, None] * off[:, None, :]))
+    return m.copy(weight=weight, mean=mean, cov=cov)
 
 
 def _dense(cells: DataFrame, m: Mixture, rules: MixtureRules, turn: int) -> pd.DataFrame:
@@ -222,10 +255,12 @@ def _dense(cells: DataFrame, m: Mixture, rules: MixtureRules, turn: int) -> pd.D
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mix = model.value
+        ready = mix.prepared()
         for pdf in batches:
             if len(pdf):
                 z = _matrix(pdf["z"])
-                left = pdf["w"].to_numpy() * mix.shares(z @ mix.project)[0][:, -1]
+                x = z @ mix.project
+                left = pdf["w"].to_numpy() * np.concatenate([mix.shares(x[part], ready)[0][:, -1] for part in mix.chunks(len(x))])
                 cell = np.floor(z / (2 * rules.cell) + shift).astype(np.int16)
                 yield pd.DataFrame({"cell": [c.tobytes() for c in cell], "mass": left, "z": pdf["z"]})[left > 0.5]
 
@@ -249,13 +284,17 @@ def _grown(m: Mixture, dense: pd.DataFrame, n: int, rules: MixtureRules) -> Mixt
     noise = m.noise
     if len(dense):
         x, mass = _matrix(dense["z"]) @ m.project, dense["mass"].to_numpy()
+        old = np.array(mean).reshape(-1, d)
         taken = np.zeros(len(x), dtype=bool)
+        for part in m.copy(weight=np.ones(len(old))).chunks(len(x)) if len(old) else ():
+            gap = (x[part] ** 2).sum(axis=1)[:, None] - 2 * x[part] @ old.T + (old**2).sum(axis=1)
+            taken[part] = (gap <= (rules.apart / 2) ** 2).any(axis=1)
         for i in range(len(x)):
             if taken[i] or len(weight) >= rules.most_components:
                 continue
             near = ((x - x[i]) ** 2).sum(axis=1) < rules.apart**2
             taken |= near
-            if mass[near].sum() >= 0.8 * rules.min_members and (not mean or ((np.array(mean) - x[i]) ** 2).sum(axis=1).min() > (rules.apart / 2) ** 2):
+            if mass[near].sum() >= 0.8 * rules.min_members:
                 share = min(mass[near].sum() / max(n, 1), noise * 0.5)
                 noise -= share
                 weight, mean, cov = [*weight, share], [*mean, x[i]], [*cov, narrow]
@@ -295,13 +334,18 @@ def assigned(rows: DataFrame, m: Mixture) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mix = model.value
+        ready = mix.prepared()
         for pdf in batches:
             if not len(pdf):
                 continue
-            joint = mix.log_joint((_matrix(pdf["v"]) - mix.centre) / mix.scale @ mix.project)
-            k = joint.argmax(axis=1)
+            x = (_matrix(pdf["v"]) - mix.centre) / mix.scale @ mix.project
+            k, top = np.empty(len(x), dtype=np.int64), np.empty(len(x))
+            for part in mix.chunks(len(x)):
+                joint = mix.log_joint(x[part], ready)
+                k[part] = joint.argmax(axis=1)
+                top[part] = joint[np.arange(len(joint)), k[part]]
             keep = k < len(mix.weight)
-            yield pd.DataFrame({"key": pdf["key"][keep], "component": k[keep].astype(np.int32), "density": joint[np.arange(len(k)), k][keep]})
+            yield pd.DataFrame({"key": pdf["key"][keep], "component": k[keep].astype(np.int32), "density": top[keep]})
 
     return rows.mapInPandas(run, f"key {kind}, component int, density double")
 

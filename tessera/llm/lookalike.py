@@ -62,7 +62,7 @@ def looks(text: Column) -> Column:
     """
     marked = text.rlike(r"[\p{M}&&[^\x{FE00}-\x{FE0F}]]")
     t = F.coalesce(_composed(F.when(marked, text)), text)
-    t = F.regexp_replace(t, rf"(?<={_PICTURE}|\x{{FE0F}})\x{{200D}}(?={_PICTURE})", JOINED)
+    t = F.regexp_replace(t, rf"({_PICTURE}\x{{FE0F}}?)\x{{200D}}(?={_PICTURE})", "$1" + JOINED)
     a, b = _table()
     return F.translate(F.regexp_replace(t, "\r\n?", "\n"), a, b)
 
