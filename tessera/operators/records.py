@@ -19,7 +19,7 @@ FIELD = r'(?:"(?:[^"\\]++|""|\\"?)*+"|[^",]*+)'
 PLACEHOLDERS = (
     "n/a", "#n/a", "na", "n.a.", "n.a", "none", "null", "nan", "nil", "tbd", "tba", "t.b.d.", "t.b.a.", "unknown", "missing",
     "undefined", "not available", "not applicable", "no title", "no plot", "untitled", "to be announced",
-    "to be determined", "#ref!", "#value!", "#name?", "#null!", "#num!", "#div/0!", "void", "empty",
+    "to be determined", "#ref!", "#value!", "#name?", "#null!", "#num!", "#div/0!",
 )
 
 MOVIE_COLUMNS = ("release_year", "title", "origin", "director", "cast_list", "genre", "wiki_page", "plot")

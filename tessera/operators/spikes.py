@@ -28,7 +28,7 @@ class SpikeRules:
     min_scale: the least standard deviation that is believed, in units of the resolution of a source.
     """
 
-    threshold: float = 7.0
+    threshold: float = 6.75
     max_run: int = 2
     run: int = 12
     block_rows: int = 4096
@@ -160,12 +160,13 @@ def implausible_readings(
     by_row = rows.select("__key", F.explode(F.array_compact(F.array(*tell))).alias("__field"))
 
     placed = rows.where(F.col("__source").isNotNull() & F.col("__at").isNotNull()).withColumn("__day", F.to_date("__at"))
-    # One exchange by (source, day) serves the distinct readings, their numbers within the day and the join of the offsets.
-    distinct = placed.select("__source", "__day", "__at", *fields).repartition("__source", "__day").dropDuplicates(["__source", "__day", "__at", *fields])
+    # Repeats fall away before the shuffle; an exchange by (source, day) then serves the numbers within the day and the offsets.
+    wrong = [F.coalesce(impossible[c], F.lit(False)).alias(f"__wrong_{c}") for c in fields if c in impossible]
+    distinct = placed.select("__source", "__day", "__at", *fields, *wrong).distinct()
     numbered = distinct.withColumn("__k", F.row_number().over(Window.partitionBy("__source", "__day").orderBy("__at", *fields)))
     days = numbered.groupBy("__source", "__day").agg(F.count(F.lit(1)).alias("__n"))
     before = days.withColumn("__before", F.sum("__n").over(Window.partitionBy("__source").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1))).select("__source", "__day", F.coalesce("__before", F.lit(0)).alias("__before"))
-    ranked = numbered.join(before, ["__source", "__day"]).select("__source", "__at", *fields, (F.col("__before") + F.col("__k") - 1).alias("__rank"))
+    ranked = numbered.join(before, ["__source", "__day"]).select("__source", "__at", *fields, *(f"__wrong_{c}" for c in fields if c in impossible), (F.col("__before") + F.col("__k") - 1).alias("__rank"))
     b, h = rules.block_rows, rules.halo_rows
     blocks = F.sequence(F.floor(F.greatest(F.col("__rank") - h, F.lit(0)) / b), F.floor((F.col("__rank") + h) / b))
     halo = ranked.withColumn("__block", F.explode(blocks))
@@ -182,10 +183,14 @@ def implausible_readings(
             if not len(there):
                 continue
             v = y[there]
-            _, spike = kalman_innovations(hours[there], v, rules.threshold, rules.max_run, rules.period_s / 3600, rules.min_scale * _resolution(v))
+            # Impossible and stuck readings are cases already and must not move the state.
+            fair = ~pdf[f"__wrong_{c}"].to_numpy(dtype=bool)[there] if f"__wrong_{c}" in pdf else np.ones(len(v), dtype=bool)
             still = stuck(v, rules.run)
             if c in exempt:
                 still &= v != exempt[c]
+            fair &= ~still
+            spike = np.zeros(len(v), dtype=bool)
+            spike[fair] = kalman_innovations(hours[there][fair], v[fair], rules.threshold, rules.max_run, rules.period_s / 3600, rules.min_scale * _resolution(v[fair]))[1]
             hit = there[spike | still]
             hit = hit[core[hit]]
             if len(hit):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import models, sets
+from tessera.operators import models, sets, statistics
 from tessera.plans import relational
 from tessera.sources.tables import table
 
@@ -60,8 +60,6 @@ def forest_regression(spark: SparkSession, d: str) -> DataFrame:
     names = ["obs_hour", "latitude", "longitude", "elevation_dimension", "direction_angle", "speed_rate", "dew_point_temperature"]
     model, scores = models.cross_validated(train, models.feature_stages([], names), models.forest_regression("air_temperature", 1), {"maxDepth": [4, 6]}, "rmse", label="air_temperature", folds=3, seed=1)
     told = model.transform(test)
-    from tessera.operators import statistics
-
     return statistics.mean_squared_error(told, "air_temperature", "prediction").withColumn("cv_rmse", F.lit(min(m for _, m in scores)))
 
 
@@ -83,7 +81,7 @@ def kmeans_outliers(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
     m = models.k_means(v, 10, 1)
     told = models.with_distance(m.transform(v).withColumnRenamed("prediction", "cluster"), models.centres(spark, m), "cluster", "v")
-    return models.outliers(told, "distance", 1.2).select("vec_id", "cluster", "distance")
+    return models.outliers(told, "distance", 1.05).select("vec_id", "cluster", "distance")
 
 
 def kmeans_tournament(spark: SparkSession, d: str) -> DataFrame:
