@@ -30,3 +30,19 @@ def whole_hours(later: Column, earlier: Column) -> Column:
 
 def day_name(t: Column) -> Column:
     return F.date_format(t, "EEEE")
+
+
+def parsed_date(text: Column, pattern: str = "MM/dd/yyyy") -> Column:
+    """A date, or null where the text is none."""
+    return F.try_to_timestamp(text, F.lit(pattern)).cast("date")
+
+
+def minutes_of_day(text: Column) -> Column:
+    """``H:mm`` or ``HH:mm`` as minutes from midnight; null where the text is no time of day."""
+    h, m = F.regexp_extract(text, r"^\s*(\d{1,2}):(\d{2})\s*$", 1).try_cast("int"), F.regexp_extract(text, r"^\s*(\d{1,2}):(\d{2})\s*$", 2).try_cast("int")
+    return F.when((h < 24) & (m < 60), h * 60 + m)
+
+
+def parsed_timestamp(text: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """A time without zone, or null where the text is none."""
+    return F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")

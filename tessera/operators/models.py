@@ -187,6 +187,18 @@ def held_out_auc(recommendations: DataFrame, actual: DataFrame, user: str = "use
     return auc.agg(F.avg("auc").alias("mean_auc"), F.sum("auc").alias("sum_auc"), F.count(F.lit(1)).alias("users"))
 
 
+def als_grid(train: DataFrame, test: DataFrame, users: DataFrame, n: int, ranks: Sequence[int], regs: Sequence[float], alphas: Sequence[float], iterations: int = 5, seed: int = 0) -> DataFrame:
+    """(rank, reg, alpha, mean_auc, sum_auc, users) of each setting, measured on held-out items of ``users``."""
+    out = []
+    for rank in ranks:
+        for reg in regs:
+            for alpha in alphas:
+                model = implicit_als(train, rank=rank, reg=reg, alpha=alpha, iterations=iterations, seed=seed)
+                row = held_out_auc(recommended(model, users, n), test).first()
+                out.append((rank, float(reg), float(alpha), row["mean_auc"], row["sum_auc"], row["users"]))
+    return train.sparkSession.createDataFrame(out, "rank int, reg double, alpha double, mean_auc double, sum_auc double, users bigint")
+
+
 def cold_start(ratings: DataFrame, new_user: int, items: Sequence[tuple[int, float]], n: int, seed: int = 0, **params) -> DataFrame:
     """(user, item, score, rank): recommendations for a user whose ratings are added and the model fitted again."""
     spark = ratings.sparkSession

@@ -109,3 +109,16 @@ def described(df: DataFrame, value: str | Column, keys: Sequence[str] = ()) -> D
 def filled(df: DataFrame, column: str, other: Column) -> DataFrame:
     """A column whose nulls and empty texts come from another source."""
     return df.withColumn(column, F.coalesce(F.nullif(F.col(column), F.lit("")), other))
+
+
+def valid_rows(df: DataFrame, non_negative: Sequence[str] = (), within: dict[str, tuple] | None = None, any_of: Sequence[str] = ()) -> DataFrame:
+    """Rows whose counts are not negative, whose values lie in their range (both ends included) and of whose ``any_of`` texts at least
+    one is there. A null count or value is not valid; a text is there if it is not null and not blank."""
+    ok = F.lit(True)
+    for c in non_negative:
+        ok = ok & F.coalesce(F.col(c) >= 0, F.lit(False))
+    for c, (low, high) in (within or {}).items():
+        ok = ok & F.coalesce(F.col(c).between(F.lit(low), F.lit(high)), F.lit(False))
+    if any_of:
+        ok = ok & F.exists(F.array(*(F.col(c).cast("string") for c in any_of)), lambda x: x.isNotNull() & (F.trim(x) != ""))
+    return df.where(ok)

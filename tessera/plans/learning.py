@@ -107,6 +107,14 @@ def als_auc(spark: SparkSession, d: str) -> DataFrame:
     return models.held_out_auc(models.recommended(models.implicit_als(train, seed=1), users, 500), test)
 
 
+def als_grid(spark: SparkSession, d: str) -> DataFrame:
+    r = _ratings(spark, d)
+    parts = sets.split_by_group(sets.rows_of(r, sets.active(r, "user", 10).select("user"), "user"), "user", ["item"], 0.9)
+    train, test = parts.where("part = 'train'").drop("part").cache(), parts.where("part = 'test'").cache()
+    users = sets.top_rows(test.select("user").distinct(), 50, "user")
+    return models.als_grid(train, test, users, 200, [5, 10], [0.01], [1.0, 40.0], iterations=3, seed=1)
+
+
 def popular_for_users(spark: SparkSession, d: str) -> DataFrame:
     r = relational._plays(spark, d)
     return models.popular_for(sets.top_rows(r.select("user").distinct(), 100, "user"), r, 25)
@@ -120,7 +128,7 @@ def cold_start(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (tree_cv, forest_cv, tree_sweep, wrong_predictions, forest_regression, kmeans_elbow, kmeans_costs, kmeans_outliers, kmeans_tournament, als_topn, als_auc, popular_for_users, cold_start)
+    for f in (tree_cv, forest_cv, tree_sweep, wrong_predictions, forest_regression, kmeans_elbow, kmeans_costs, kmeans_outliers, kmeans_tournament, als_topn, als_auc, als_grid, popular_for_users, cold_start)
 }
 SQL: dict[str, str] = {
     "popular_for_users": relational._PLAYS.format(25) + 'SELECT "user", item, score FROM (SELECT DISTINCT "user" FROM plays ORDER BY 1 LIMIT 100), popular',

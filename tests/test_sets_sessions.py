@@ -80,3 +80,11 @@ def test_region_priority_and_trips(spark):
     assert {r["trip_id"]: (r["pickup_region"], r["dropoff_region"]) for r in t.collect()} == {1: ("small", "two"), 2: ("two", "two"), 5: (None, None)}
     same, other = regions.duration_stats(t.where(regions.same_region())).first(), regions.duration_stats(t.where(~regions.same_region())).first()
     assert same["n"] == 2 and other["n"] == 1 and same["n"] + other["n"] == regions.duration_stats(t, ["dropoff_region"]).agg(F.sum("n")).first()[0]
+
+
+def test_validity_and_parsing(spark):
+    df = spark.createDataFrame([(1, "04/05/2021", "7:05", "a", None), (-1, "04/05/2021", "7:05", "a", "b"), (1, "x", "25:00", "a", ""), (0, "01/01/2022", "23:59", None, " "), (None, None, None, None, None)], "n int, d string, t string, a string, b string")
+    told = df.select("*", times.parsed_date(F.col("d")).alias("day"), times.minutes_of_day(F.col("t")).alias("m"))
+    assert [r["m"] for r in told.collect()] == [425, 425, None, 1439, None] and [r["day"] is None for r in told.collect()] == [False, False, True, False, True]
+    got = sets.valid_rows(told, ["n"], {"day": (dt.date(2021, 1, 1), dt.date(2022, 12, 31))}, ["a", "b"]).collect()
+    assert [r["n"] for r in got] == [1]
