@@ -63,7 +63,8 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_forms(spark: SparkSession, d: str) -> DataFrame:
-    return lookalike.consistent_form(table(spark, d, "documents"), "doc_id", "text")
+    # A blank or null text is a class of its own here, so that every row has one.
+    return lookalike.consistent_form(table(spark, d, "documents"), "doc_id", "text").withColumn("class_id", F.coalesce("class_id", "doc_id"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p3_pairs": p3_pairs, "p6_found": p6_found, "p6_scores": p6_scores, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_forms": p10_forms}
@@ -102,3 +103,24 @@ SQL = {
     "p6_found": _SCORES + "SELECT film_id, arg_min(term, (-score, df, term)) AS term FROM scored WHERE n_terms >= 20 GROUP BY film_id",
     "p6_scores": _SCORES + "SELECT film_id, term, tf, n_terms::INT AS n_terms, df, round(score, 9) AS score FROM scored",
 }
+
+
+def _text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_FROM, _TO = lookalike._table()
+_INVISIBLE = r"[\p{Cf}\x{0000}-\x{0008}\x{000E}-\x{001F}\x{007F}-\x{009F}\x{034F}\x{FE00}-\x{FE0F}]"
+_LOOKS = rf"""
+WITH told AS (
+  SELECT doc_id, text, md5(text) AS digest, nfc_normalize(translate(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text),
+    '({lookalike._PICTURE}\x{{FE0F}}?)\x{{200D}}({lookalike._PICTURE})', '\1{lookalike.JOINED}\2', 'g'), '\r\n?', chr(10), 'g'), '{_INVISIBLE}', '', 'g'), {_text(_FROM)}, {_text(_TO)})) AS looks
+  FROM documents WHERE text IS NOT NULL AND NOT regexp_full_match(text, '[\s\p{{Z}}\p{{Cf}}\p{{Cc}}\x{{FE00}}-\x{{FE0F}}]*')
+), heads AS (SELECT looks, min(doc_id) AS class_id FROM told GROUP BY looks)
+"""
+SQL |= {
+    "p10_found": _LOOKS + "SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM told a JOIN told b ON a.looks = b.looks AND a.doc_id < b.doc_id AND a.digest <> b.digest",
+    "p10_forms": _LOOKS
+    + """SELECT d.doc_id, coalesce(h.class_id, d.doc_id) AS class_id, coalesce(f.text, d.text) AS form FROM documents d LEFT JOIN told t ON t.doc_id = d.doc_id LEFT JOIN heads h ON h.looks = t.looks
+LEFT JOIN documents f ON f.doc_id = h.class_id""",
+}
