@@ -10,16 +10,36 @@ from pyspark.sql import functions as F
 from tessera.functions import numeric
 
 
+RANGES = 256
+
+
+def with_total_before(df: DataFrame, order: str, value: str, before: str, descending: bool = False) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows whose ``order`` comes before a row's own. ``order`` holds each number once.
+
+    Rows are cut into ranges at approximate quantiles, which decide only how even the ranges are; sums run within a range and over
+    the ranges, so no task orders all rows.
+    """
+    shares = [k / RANGES for k in range(1, RANGES)]
+    cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), shares, 10_000).alias("c")).first()["c"]
+    cuts = sorted({float(c) for c in cuts or []})
+    at = F.size(F.filter(F.lit(cuts), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    ranged = df.withColumn("__range", at)
+    by = F.desc if descending else F.asc
+    ahead = Window.orderBy(by("__range")).rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows
+    start = ranged.groupBy("__range").agg(F.sum(value).alias("__sum")).select("__range", F.coalesce(F.sum("__sum").over(ahead), F.lit(0)).alias("__start"))
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("__range").orderBy(by(order)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("__own", own).join(F.broadcast(start), "__range").withColumn(before, F.col("__start") + F.col("__own")).drop("__range", "__own", "__start")
+
+
 def mean_ranks(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
     """(key, columns): ranks of each column from 1, ties at the mean of their places.
 
-    Ranks come from counts of the distinct values, so only these are ordered, and not the rows.
+    Ranks come from counts of the distinct values, so only these are ordered, range by range.
     """
     out = df.select(key, *columns)
     for c in columns:
         n = df.groupBy(c).agg(F.count(F.lit(1)).alias("n")).where(F.col(c).isNotNull())
-        before = F.coalesce(F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranks = n.select(F.col(c), (before + (F.col("n") + 1) / 2).alias(f"__{c}"))
+        ranks = with_total_before(n, c, "n", "before").select(F.col(c), (F.col("before") + (F.col("n") + 1) / 2).alias(f"__{c}"))
         out = out.join(ranks, c, "left").drop(c).withColumnRenamed(f"__{c}", c)
     return out.select(key, *columns)
 
@@ -65,11 +85,13 @@ def mean_squared_error(df: DataFrame, label: str, prediction: str) -> DataFrame:
 def score_curve(df: DataFrame, score: str, label: str) -> DataFrame:
     """(threshold, tp, fp, precision, recall) at each different score, where a row counts as positive from the threshold up.
 
-    ``label`` is 0 or 1. Ties share one row. Only the different scores are ordered.
+    ``label`` is 0 or 1. Ties share one row. Only the different scores are ordered, range by range.
     """
     n = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    of = n.select("threshold", F.sum("p").over(w).alias("tp"), F.sum(F.col("n") - F.col("p")).over(w).alias("fp"), F.sum("p").over(Window.partitionBy(F.lit(1))).alias("positives"))
+    run = with_total_before(with_total_before(n, "threshold", "p", "tp_before", True), "threshold", "n", "n_before", True)
+    positives = n.agg(F.sum("p").alias("s")).first()["s"]
+    tp = F.col("tp_before") + F.col("p")
+    of = run.select("threshold", tp.alias("tp"), (F.col("n_before") + F.col("n") - tp).alias("fp"), F.lit(positives).cast("bigint").alias("positives"))
     return of.select("threshold", "tp", "fp", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide("tp", "positives").alias("recall"))
 
 
