@@ -103,3 +103,17 @@ def test_concepts_match_a_dense_decomposition(spark):
     assert np.allclose(np.abs(mine[:, :2]), np.abs((u * s)[:, :2]), atol=1e-4)
     assert L.top_terms(c, 2).count() == 6 and L.top_documents(c, "id", 2).count() == 6
     assert L.query(c, "id", ["w0", "nothing"], 5).count() == 5
+
+
+def test_totals_before_over_ranges(spark):
+    rng = np.random.default_rng(2)
+    x = rng.permutation(3000).astype(float) / 7
+    n = rng.integers(1, 9, 3000)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, n)], "x double, n long")
+    up = {r["x"]: r["t"] for r in S.with_total_before(df, "x", "n", "t").collect()}
+    down = {r["x"]: r["t"] for r in S.with_total_before(df, "x", "n", "t", descending=True).collect()}
+    order = np.argsort(x)
+    total = np.cumsum(n[order]) - n[order]
+    assert up == dict(zip(x[order].tolist(), total.tolist()))
+    assert all(down[v] == n.sum() - up[v] - c for v, c in zip(x.tolist(), n.tolist()))
+    assert S.with_total_before(df.limit(0), "x", "n", "t").count() == 0
