@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.durable import durable
 from tessera.functions import numeric
 
 
@@ -19,6 +20,7 @@ def with_total_before(df: DataFrame, order: str, value: str, before: str, descen
     Rows are cut into ranges at approximate quantiles, which decide only how even the ranges are; sums run within a range and over
     the ranges, so no task orders all rows.
     """
+    df = durable(df)  # read for the quantiles, the sums of ranges and the rows
     shares = [k / RANGES for k in range(1, RANGES)]
     cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), shares, 10_000).alias("c")).first()["c"]
     cuts = sorted({float(c) for c in cuts or []})
