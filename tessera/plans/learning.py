@@ -94,7 +94,7 @@ def _ratings(spark: SparkSession, d: str) -> DataFrame:
 
 def als_topn(spark: SparkSession, d: str) -> DataFrame:
     r = _ratings(spark, d)
-    users = sets.top_rows(sets.active(r, "user", 10).select("user"), 100, "user")
+    users = sets.active(r, "user", 10).select("user")
     return models.recommended(models.implicit_als(r, seed=1), users, 25)
 
 
@@ -103,7 +103,7 @@ def als_auc(spark: SparkSession, d: str) -> DataFrame:
     kept = sets.rows_of(r, sets.active(r, "user", 10).select("user"), "user")
     parts = sets.split_by_group(kept, "user", ["item"], 0.9)
     train, test = parts.where("part = 'train'").drop("part"), parts.where("part = 'test'")
-    users = sets.top_rows(test.select("user").distinct(), 100, "user")
+    users = test.select("user").distinct()
     return models.held_out_auc(models.recommended(models.implicit_als(train, seed=1), users, 500), test)
 
 
@@ -111,13 +111,13 @@ def als_grid(spark: SparkSession, d: str) -> DataFrame:
     r = _ratings(spark, d)
     parts = sets.split_by_group(sets.rows_of(r, sets.active(r, "user", 10).select("user"), "user"), "user", ["item"], 0.9)
     train, test = parts.where("part = 'train'").drop("part").cache(), parts.where("part = 'test'").cache()
-    users = sets.top_rows(test.select("user").distinct(), 50, "user")
+    users = test.select("user").distinct()
     return models.als_grid(train, test, users, 200, [5, 10], [0.01], [1.0, 40.0], iterations=3, seed=1)
 
 
 def popular_for_users(spark: SparkSession, d: str) -> DataFrame:
     r = relational._plays(spark, d)
-    return models.popular_for(sets.top_rows(r.select("user").distinct(), 100, "user"), r, 25)
+    return models.popular_for(r.select("user").distinct(), r, 25)
 
 
 def cold_start(spark: SparkSession, d: str) -> DataFrame:
