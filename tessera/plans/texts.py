@@ -82,10 +82,10 @@ def tfidf(spark: SparkSession, d: str) -> DataFrame:
     return w.withColumn("weight", F.round("weight", 9))
 
 
-def _concepts(spark: SparkSession, d: str, k: int = 10) -> semantic.Concepts:
+def _concepts(spark: SparkSession, d: str, k: int = 25) -> semantic.Concepts:
     films = table(spark, d, "films").where("plot is not null").groupBy("film_id").agg(F.max("plot").alias("plot"))
     tf = C.term_frequency(C.lemmas(films, "film_id", "plot", STOP), "film_id", "lemmas")
-    vocab = C.inverse_frequency(C.vocabulary(tf, 1000), films.count())
+    vocab = C.inverse_frequency(C.vocabulary(tf, 5000), films.count())
     return semantic.decomposed(C.weights(tf, "film_id", vocab), "film_id", vocab, k)
 
 
