@@ -1,11 +1,18 @@
 """Similarity clusters: a Gaussian mixture with a noise component, fitted by distributed expectation-maximisation.
 
-Features are standardised, array by array, and reduced by principal components. Rows are first summed up in fine cells of the standardised
-features (count and mean), so a hot cluster costs its cells and not its rows; every pass of the EM reads all cells where they lie
-and moves only moments, which partial aggregation adds up before the shuffle. The mixture starts from the densest cells and grows
-in rounds from the mass that the noise component still holds and from components that are too wide; a round counts only if it
-lowers the Bayesian information criterion, and components that the criterion does not pay for are dropped. What the driver holds
-is bounded by ``most_components``, ``candidates`` and the number of features, never by the rows.
+Features are standardised, array by array, and reduced by principal components. All lengths are measured in the radius of a group:
+the root mean square distance of members from their centre. It is first read from the distances of some rows to all rows, which
+stand still between the own group and the next one, and then measured on all rows under the fitted mixture; the fit is repeated
+while the two disagree. So groups that are close on the scale of the table, but far apart on their own, stay apart. (A radius and
+not each component's own covariance decides what is apart, because a feature of few values has no variance inside most groups and
+would cut off the odd member in it. The covariances decide only whether two pieces of a wide group are one.)
+
+Rows are summed up in fine cells of the standardised features (count and mean), so a hot cluster costs its cells and not its rows,
+and the cells lie in the order of the first principal component, so a task meets few components and hands on few moments. The
+mixture grows in rounds from the places where the noise component still holds mass, and by cutting components that are too wide; a
+round counts only if it lowers the Bayesian information criterion, components that the criterion does not pay for are dropped, and
+each round runs until the likelihood settles. The search ends when no place is left that would make a component. What the driver
+holds is bounded by ``most_components``, ``candidates``, ``probes`` and the number of features, never by the rows.
 """
 
 from __future__ import annotations
@@ -20,24 +27,48 @@ from pyspark.sql import functions as F
 
 from tessera.durable import durable
 
+LEAF = 512  # rows of a box
+LEAST_RADIUS = 0.01  # of a group, in standard deviations of the table: copies of one record have none
+STEPS = 4  # bins of a doubling of distance
+
 
 @dataclass(frozen=True)
 class MixtureRules:
-    """floor: the least standard deviation of a component, in standard deviations of a feature (regularises the covariance).
-
-    explained: share of the variance that the reduced features keep. cell: width of the cells that sum up rows. apart: means
-    nearer than this are one component. candidates: dense cells that a round looks at. min_members: of a cluster.
+    """Lengths are in radii of a group. floor: the least standard deviation of a component (regularises the covariance). cell: width
+    of the cells that sum up rows. apart: means nearer than this are one component. overlap: so are means nearer than this times
+    the sum of the two standard deviations along their line.
+
+    explained: share of the variance that the reduced features keep at least. min_members: of a cluster. settle: gain of the
+    log-likelihood per row below which a round has settled. candidates: places that are looked at together; all are looked at.
+    most_components: beyond it the fit ends with an error. probes: rows whose distances to all rows give the first radius.
+    radius: the first radius itself, in standard deviations of the table; None measures it.
     """
 
-    floor: float = 0.15
+    floor: float = 0.6
+    cell: float = 2.0
+    apart: float = 4.8
+    overlap: float = 2.0
     explained: float = 0.99
-    cell: float = 0.5
-    apart: float = 1.2
-    candidates: int = 2000
-    most_components: int = 4096
     min_members: int = 5
-    rounds: int = 8
-    em_passes: int = 3
+    settle: float = 1e-4
+    candidates: int = 2000
+    most_components: int = 8192
+    probes: int = 256
+    radius: float | None = None
+
+
+def _boxes(x: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows in boxes of at most LEAF neighbours: halves along the widest side."""
+    stack = [np.arange(len(x))] if len(x) else []
+    while stack:
+        rows = stack.pop()
+        if len(rows) <= LEAF:
+            yield rows
+            continue
+        part = x[rows]
+        side = int(np.argmax(part.max(axis=0) - part.min(axis=0)))
+        order = np.argpartition(part[:, side], len(rows) // 2)
+        stack += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
 
 
 @dataclass
@@ -66,36 +97,29 @@ class Mixture:
         reach = 2 * widest * np.maximum(const - np.log(max(self.noise, 1e-12)) - self.log_noise + 40, 0)
         return np.linalg.inv(low) if len(low) else low, const, reach
 
-    def log_joint(self, x: np.ndarray, ready: tuple | None = None) -> np.ndarray:
-        """log(weight * density) of each row and component; the noise is the last column. ``x`` is reduced.
+    def log_joint(self, x: np.ndarray, ready: tuple | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, components, log(weight * density)) box by box; the last column is the noise. ``x`` is reduced.
 
-        A component is worked out only for rows within its reach, so the cost follows the components near a row.
+        A component is worked out only for boxes within its reach, so the cost follows the components near a row.
         """
         factor, const, reach = ready or self.prepared()
-        k = len(self.weight)
-        out = np.full((len(x), k + 1), -np.inf)
-        out[:, k] = np.log(max(self.noise, 1e-12)) + self.log_noise
-        if k and len(x):
-            apart = (x * x).sum(axis=1)[:, None] - 2 * (x @ self.mean.T) + (self.mean * self.mean).sum(axis=1)
-            near = apart <= reach + 1e-9
-            for j in np.flatnonzero(near.any(axis=0)):
-                rows = np.flatnonzero(near[:, j])
-                y = (x[rows] - self.mean[j]) @ factor[j].T
-                out[rows, j] = const[j] - 0.5 * (y * y).sum(axis=1)
-        return out
-
-    def chunks(self, n: int) -> Iterator[slice]:
-        """Slices of n rows such that a matrix of rows by components stays small."""
-        step = max(64, 2_000_000 // (len(self.weight) + 1))
-        return (slice(i, min(i + step, n)) for i in range(0, n, step))
-
-    def shares(self, x: np.ndarray, ready: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(responsibilities, log density) of each row."""
-        joint = self.log_joint(x, ready)
-        top = joint.max(axis=1, keepdims=True)
-        e = np.exp(joint - top)
-        total = e.sum(axis=1, keepdims=True)
-        return e / total, (top + np.log(total))[:, 0]
+        for rows in _boxes(x):
+            part = x[rows]
+            gap = np.maximum(np.maximum(part.min(axis=0) - self.mean, self.mean - part.max(axis=0)), 0) if len(const) else np.empty((0, 1))
+            near = np.flatnonzero((gap * gap).sum(axis=1) <= reach + 1e-9)
+            out = np.full((len(rows), len(near) + 1), np.log(max(self.noise, 1e-12)) + self.log_noise)
+            for k, j in enumerate(near):
+                y = (part - self.mean[j]) @ factor[j].T
+                out[:, k] = const[j] - 0.5 * (y * y).sum(axis=1)
+            yield rows, near, out
+
+    def shares(self, x: np.ndarray, ready: tuple | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, components, responsibilities, log density) box by box; the last responsibility is the noise's."""
+        for rows, near, joint in self.log_joint(x, ready):
+            top = joint.max(axis=1, keepdims=True)
+            e = np.exp(joint - top)
+            total = e.sum(axis=1, keepdims=True)
+            yield rows, near, e / total, (top + np.log(total))[:, 0]
 
 
 def complete_vectors(df: DataFrame, key: str, arrays: Sequence[tuple[str, int]]) -> DataFrame:
@@ -117,13 +141,17 @@ def _matrix(s: pd.Series) -> np.ndarray:
 
 
 def _summed(df: DataFrame) -> dict[int, np.ndarray]:
-    """The sums of (k, a) over k, element by element."""
-    flat = df.select("k", F.posexplode("a").alias("p", "x")).groupBy("k", "p").agg(F.sum("x").alias("x")).toPandas().sort_values(["k", "p"])
-    return {int(k): g["x"].to_numpy() for k, g in flat.groupby("k")}
+    """The sums of the arrays (k, a) over k, element by element; a task hands on one array for each k it met."""
+    add = F.expr("aggregate(slice(l, 2, greatest(size(l) - 1, 0)), l[0], (x, y) -> zip_with(x, y, (p, q) -> p + q))")
+    lists = df.groupBy("k").agg(F.array_sort(F.collect_list("a")).alias("l"))
+    return {int(r["k"]): np.array(r["a"]) for r in lists.select("k", add.alias("a")).collect()}
+
+
+SUMS = "k int, a array<double>"
 
 
-def _standard(rows: DataFrame, rules: MixtureRules, lengths: Sequence[int]) -> tuple[Mixture, int]:
-    """Centre, scale and projection from the moments of all rows, and their number.
+def _standard(rows: DataFrame, lengths: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """(centre, scale, variances and directions of the principal components, number of rows) from the moments of all rows.
 
     The elements of an array are of one unit and share its scale, so one that hardly varies is not blown up.
     """
@@ -137,8 +165,7 @@ def _standard(rows: DataFrame, rules: MixtureRules, lengths: Sequence[int]) -> t
                 n, one, two = n + len(x), one + x.sum(axis=0), two + x.T @ x
         yield pd.DataFrame({"k": [0], "a": [np.concatenate([[n], one, two.ravel()]).tolist()]})
 
-    sums = _summed(rows.select("v").mapInPandas(moments, "k int, a array<double>"))
-    a = sums.get(0, np.zeros(1 + width + width * width))
+    a = _summed(rows.select("v").mapInPandas(moments, SUMS)).get(0, np.zeros(1 + width + width * width))
     n = int(a[0])
     centre = a[1 : width + 1] / max(n, 1)
     cov = a[width + 1 :].reshape(width, width) / max(n, 1) - np.outer(centre, centre)
@@ -146,21 +173,64 @@ def _standard(rows: DataFrame, rules: MixtureRules, lengths: Sequence[int]) -> t
     scale = np.sqrt(np.maximum(np.bincount(block, np.diag(cov)) / np.bincount(block), 0))[block]
     scale[scale < 1e-9] = 1.0
     value, vector = np.linalg.eigh(cov / np.outer(scale, scale))
-    value, vector = np.maximum(value[::-1], 0), vector[:, ::-1]
+    return centre, scale, np.maximum(value[::-1], 0), vector[:, ::-1], n
+
+
+def _reduced(centre: np.ndarray, scale: np.ndarray, value: np.ndarray, vector: np.ndarray, radius: float, rules: MixtureRules) -> Mixture:
+    """A mixture of noise alone over the reduced features. A direction is left out only if it tells no groups apart: the rest of the
+    variance is small and it varies no more than inside a group."""
     total = value.sum()
     d = int(np.searchsorted(np.cumsum(value) / total, rules.explained - 1e-12) + 1) if total > 0 else 1
-    log_volume = np.log(8 * np.sqrt(np.maximum(value[:d], rules.floor**2))).sum()
-    return Mixture(centre, scale, vector[:, :d], -float(log_volume), mean=np.empty((0, d)), cov=np.empty((0, d, d))), n
+    d = min(len(value), max(d, int((value > 4 * radius**2 / len(value)).sum())))
+    log_volume = np.log(8 * np.sqrt(np.maximum(value[:d], (rules.floor * radius) ** 2))).sum()
+    return Mixture(centre, scale, vector[:, :d], -float(log_volume), mean=np.empty((0, d)), cov=np.empty((0, d, d)))
 
 
-def _cells(rows: DataFrame, m: Mixture, rules: MixtureRules) -> DataFrame:
-    """(w, z): number of rows and mean of their standardised features in each occupied cell."""
-    width = len(m.centre)
+def _first_radius(rows: DataFrame, centre: np.ndarray, scale: np.ndarray, n: int, rules: MixtureRules) -> float:
+    """The radius of a group as some rows see it: each probe's distances to all rows, counted by size, stand still where its group
+    ends. Probes without such a place (loners) have no say; if none has one the radius is a quarter of a standard deviation."""
+    probes = _matrix(rows.orderBy(F.xxhash64("key"), "key").limit(rules.probes).select("v").toPandas()["v"])
+    sent = rows.sparkSession.sparkContext.broadcast((probes - centre) / scale)
+    low, bins = -10 * STEPS, 16 * STEPS
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        z = sent.value
+        count, square = np.zeros((len(z), bins)), np.zeros((len(z), bins))
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = (_matrix(pdf["v"]) - centre) / scale
+            for i in range(0, len(x), 4096):
+                part = x[i : i + 4096]
+                for j in range(len(z)):
+                    far = ((part - z[j]) ** 2).sum(axis=1)
+                    at = np.clip(np.ceil(np.log2(np.maximum(far, 1e-12)) * STEPS / 2) - low, 0, bins - 1).astype(np.int64)
+                    count[j] += np.bincount(at, minlength=bins)
+                    square[j] += np.bincount(at, far, minlength=bins)
+        yield pd.DataFrame({"k": np.arange(len(z)), "a": np.concatenate([count, square], axis=1).tolist()})
+
+    found = []
+    for a in _summed(rows.select("v").mapInPandas(measure, SUMS)).values():
+        within, square = np.cumsum(a[:bins]), np.cumsum(a[bins:])
+        at = np.flatnonzero((within[:-STEPS] >= rules.min_members) & (within[STEPS:] <= 0.9 * n))
+        if len(at):
+            grows = within[at + STEPS] / within[at]
+            best = at[np.argmin(grows)]
+            if grows.min() <= 1.25:
+                found.append(square[best] / (2 * within[best]))
+    sent.unpersist()
+    return max(float(np.sqrt(np.median(found))), LEAST_RADIUS) if found else 0.25
+
+
+def _cells(rows: DataFrame, m: Mixture, width: float) -> DataFrame:
+    """(w, z): number of rows and mean of their standardised features in each occupied cell, in the order of the first component."""
+    size = len(m.centre)
     z = F.zip_with(F.zip_with(F.col("v"), F.lit(m.centre.tolist()), lambda a, b: a - b), F.lit(m.scale.tolist()), lambda a, b: a / b)
-    zs = rows.select(z.alias("z")).select(*(F.get("z", F.lit(k)).alias(f"z{k}") for k in range(width)))
-    key = F.array(*(F.round(F.col(f"z{k}") / rules.cell).cast("int") for k in range(width)))
-    sums = zs.groupBy(key.alias("cell")).agg(F.count(F.lit(1)).cast("double").alias("w"), *(F.avg(f"z{k}").alias(f"z{k}") for k in range(width)))
-    return sums.select("w", F.array(*(f"z{k}" for k in range(width))).alias("z"))
+    zs = rows.select(z.alias("z")).select(*(F.get("z", F.lit(k)).alias(f"z{k}") for k in range(size)))
+    key = F.array(*(F.round(F.col(f"z{k}") / width).cast("int") for k in range(size)))
+    sums = zs.groupBy(key.alias("cell")).agg(F.count(F.lit(1)).cast("double").alias("w"), *(F.avg(f"z{k}").alias(f"z{k}") for k in range(size)))
+    lead = sum((F.col(f"z{k}") * float(p) for k, p in enumerate(m.project[:, 0])), F.lit(0.0))
+    return sums.select("w", F.array(*(f"z{k}" for k in range(size))).alias("z"), lead.alias("lead")).repartitionByRange("lead", F.xxhash64("z")).select("w", "z")
 
 
 def _em_pass(cells: DataFrame, m: Mixture) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
@@ -172,26 +242,23 @@ def _em_pass(cells: DataFrame, m: Mixture) -> tuple[np.ndarray, np.ndarray, np.n
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mix = model.value
         ready = mix.prepared()
-        mass, one, two, tail = np.zeros(k), np.zeros((k, d)), np.zeros((k, len(upper[0]))), np.zeros(2)
+        sums: dict[int, np.ndarray] = {-1: np.zeros(2)}
         for pdf in batches:
             if not len(pdf):
                 continue
-            all_w, all_x = pdf["w"].to_numpy(), _matrix(pdf["z"]) @ mix.project
-            for part in mix.chunks(len(all_w)):
-                w, x = all_w[part], all_x[part]
-                r, log = mix.shares(x, ready)
-                r *= w[:, None]
-                tail += [r[:, k].sum(), (w * log).sum()]
-                for j in np.flatnonzero((r[:, :k] > 1e-9).any(axis=0)):
-                    at = np.flatnonzero(r[:, j] > 1e-9)
-                    rj, xj = r[at, j], x[at]
-                    mass[j] += rj.sum()
-                    one[j] += rj @ xj
-                    two[j] += ((xj * rj[:, None]).T @ xj)[upper]
-        out = [(j, [mass[j], *one[j], *two[j]]) for j in range(k) if mass[j] > 0]
-        yield pd.DataFrame([*out, (-1, tail.tolist())], columns=["k", "a"])
-
-    sums = _summed(cells.mapInPandas(run, "k int, a array<double>"))
+            w, x = pdf["w"].to_numpy(), _matrix(pdf["z"]) @ mix.project
+            for rows, near, r, log in mix.shares(x, ready):
+                r *= w[rows, None]
+                sums[-1] += [r[:, -1].sum(), (w[rows] * log).sum()]
+                for i, j in enumerate(near):
+                    at = np.flatnonzero(r[:, i] > 1e-9)
+                    if len(at):
+                        rj, xj = r[at, i], x[rows[at]]
+                        got = np.concatenate([[rj.sum()], rj @ xj, ((xj * rj[:, None]).T @ xj)[upper]])
+                        sums[j] = sums[j] + got if j in sums else got
+        yield pd.DataFrame([(int(j), a.tolist()) for j, a in sums.items()], columns=["k", "a"])
+
+    sums = _summed(cells.mapInPandas(run, SUMS))
     model.unpersist()
     mass, one, two = np.zeros(k), np.zeros((k, d)), np.zeros((k, d, d))
     for j, a in sums.items():
@@ -203,40 +270,53 @@ def _em_pass(cells: DataFrame, m: Mixture) -> tuple[np.ndarray, np.ndarray, np.n
     return mass, one, two, float(tail[0]), float(tail[1])
 
 
-def _maximised(m: Mixture, mass: np.ndarray, one: np.ndarray, two: np.ndarray, noise: float, rules: MixtureRules) -> Mixture:
-    """New parameters; each covariance is drawn towards the pooled one and has the floor added."""
+def _parameters(mass: np.ndarray, d: int) -> np.ndarray:
+    """Free parameters of each component: weight and mean, and of its covariance the part that is not drawn from the pool."""
+    return 1 + d + mass / (mass + d * d) * d * (d + 1) / 2
+
+
+def _maximised(m: Mixture, mass: np.ndarray, one: np.ndarray, two: np.ndarray, noise: float, radius: float, rules: MixtureRules) -> Mixture:
+    """New parameters; each covariance is drawn towards the pooled one and has the floor added. Components that are too small, or
+    that gain less over the noise than the criterion asks for their parameters, are dropped."""
     d = m.project.shape[1]
     keep = mass >= rules.min_members - 0.5
     mass, one, two = mass[keep], one[keep], two[keep]
-    total = mass.sum() + noise
+    total = max(mass.sum() + noise, 1.0)
     mean = one / mass[:, None]
     scatter = two - mass[:, None, None] * mean[:, :, None] * mean[:, None, :]
     pooled = scatter.sum(axis=0) / max(mass.sum(), 1.0)
-    cov = (scatter + d * pooled) / (mass + d)[:, None, None] + rules.floor**2 * np.eye(d)
-    return m.copy(weight=mass / total, mean=mean, cov=(cov + cov.transpose(0, 2, 1)) / 2, noise=noise / total)
-
-
-def _parameters(mass: np.ndarray, d: int) -> np.ndarray:
-    """Free parameters of each component: weight and mean, and of its covariance the part that is not drawn from the pool."""
-    return 1 + d + mass / (mass + d * d) * d * (d + 1) / 2
-
-
-def _merged(m: Mixture, rules: MixtureRules) -> Mixture:
+    cov = (scatter + d * pooled) / (mass + d)[:, None, None] + (rules.floor * radius) ** 2 * np.eye(d)
+    cov = (cov + cov.transpose(0, 2, 1)) / 2
+    if len(mass):
+        log_density = -0.5 * (np.linalg.slogdet(cov)[1] + d * np.log(2 * np.pi))
+        fit = mass * (np.log(mass / total) + log_density) - 0.5 * np.trace(np.linalg.solve(cov, scatter), axis1=1, axis2=2)
+        gain = fit - mass * (np.log(max(noise / total, 1.0 / total)) + m.log_noise)
+        pays = 2 * gain > _parameters(mass, d) * np.log(max(total, 2))
+        mass, mean, cov = mass[pays], mean[pays], cov[pays]
+    return m.copy(weight=mass / total, mean=mean, cov=cov, noise=max(1 - mass.sum() / total, 1e-9))
+
+
+def _merged(m: Mixture, radius: float, rules: MixtureRules) -> Mixture:
     """Components whose means are not apart become one."""
     k, d = m.mean.shape
     root = np.arange(k)
-    for part in m.chunks(k):
-        gap = (m.mean[part] ** 2).sum(axis=1)[:, None] - 2 * m.mean[part] @ m.mean.T + (m.mean**2).sum(axis=1)
-        for i, j in np.argwhere(gap < rules.apart**2):
-            a, b = i + part.start, j
-            while root[a] != a:
-                a = root[a]
-            while root[b] != b:
-                b = root[b]
-            root[max(a, b)] = min(a, b)
-    for j in range(k):  # a root stands before what hangs on it
-        root[j] = root[root[j]]
-    heads, at = np.unique(root, return_inverse=True)
+    side = np.sqrt(np.linalg.eigvalsh(m.cov)[:, -1]) if k else np.empty(0)
+
+    def head(a: int) -> int:
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for i in range(k):
+        off = m.mean[i + 1 :] - m.mean[i]
+        gap = np.sqrt((off * off).sum(axis=1))
+        for j in np.flatnonzero(gap < np.maximum(rules.apart * radius, rules.overlap * (side[i] + side[i + 1 :]))):
+            u = off[j] / max(gap[j], 1e-12)
+            spread = np.sqrt(u @ m.cov[i] @ u) + np.sqrt(u @ m.cov[i + 1 + j] @ u)
+            if gap[j] < max(rules.apart * radius, rules.overlap * spread):
+                a, b = head(i), head(i + 1 + j)
+                root[max(a, b)] = min(a, b)
+    heads, at = np.unique([head(j) for j in range(k)], return_inverse=True)
     if len(heads) == k:
         return m
     weight = np.bincount(at, m.weight)
@@ -248,83 +328,188 @@ def _merged(m: Mixture, rules: MixtureRules) -> Mixture:
     return m.copy(weight=weight, mean=mean, cov=cov)
 
 
-def _dense(cells: DataFrame, m: Mixture, rules: MixtureRules, turn: int) -> pd.DataFrame:
-    """The coarse cells that hold most mass of the noise, at most ``candidates``: (mass, z of the heaviest fine cell)."""
+def _settled(cells: DataFrame, m: Mixture, n: int, radius: float, rules: MixtureRules) -> tuple[Mixture, float]:
+    """``m`` after expectation-maximisation until the likelihood settles, and its criterion; less is better."""
+    last = -np.inf
+    while True:
+        *sums, log = _em_pass(cells, m)
+        if log - last < rules.settle * n:
+            if len((joined := _merged(m, radius, rules)).weight) == len(m.weight):
+                return m, -2 * log + _parameters(m.weight * n, m.project.shape[1]).sum() * np.log(max(n, 2))
+            m, last = joined, -np.inf
+            continue
+        better = _maximised(m, *sums, radius, rules)
+        last = log if len(better.weight) == len(m.weight) else -np.inf
+        m = better
+
+
+def _left_over(cells: DataFrame, m: Mixture) -> DataFrame:
+    """(w, z) of the cells in which the noise holds mass, and how much."""
     model = cells.sparkSession.sparkContext.broadcast(m)
-    shift = np.random.default_rng(turn).random(len(m.centre))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mix = model.value
         ready = mix.prepared()
+        for pdf in batches:
+            if len(pdf):
+                left = pdf["w"].to_numpy().copy()
+                for rows, _, r, _ in mix.shares(_matrix(pdf["z"]) @ mix.project, ready):
+                    left[rows] *= r[:, -1]
+                yield pd.DataFrame({"w": left, "z": pdf["z"]})[left > 0.5]
+
+    return durable(cells.mapInPandas(run, "w double, z array<double>"))
+
+
+def _places(left: DataFrame, width: float, turn: int, least: float) -> DataFrame:
+    """(mass, z) of the places where ``left`` may hold a group: coarse cells of four shifted grids that hold at least ``least``, with
+    their heaviest fine cell."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 z = _matrix(pdf["z"])
-                x = z @ mix.project
-                left = pdf["w"].to_numpy() * np.concatenate([mix.shares(x[part], ready)[0][:, -1] for part in mix.chunks(len(x))])
-                cell = np.floor(z / (2 * rules.cell) + shift).astype(np.int16)
-                yield pd.DataFrame({"cell": [c.tobytes() for c in cell], "mass": left, "z": pdf["z"]})[left > 0.5]
+                for g in range(4):
+                    cell = np.floor(z / width + np.random.default_rng([turn, g]).random(z.shape[1])).astype(np.int32)
+                    yield pd.DataFrame({"cell": [bytes([g]) + c.tobytes() for c in cell], "mass": pdf["w"], "z": pdf["z"]})
 
-    found = cells.mapInPandas(run, "cell binary, mass double, z array<double>").groupBy("cell").agg(F.sum("mass").alias("mass"), F.max_by("z", F.struct("mass", "z")).alias("z"))
-    return found.orderBy(F.desc("mass"), "cell").limit(rules.candidates).select("mass", "z").toPandas()
+    coarse = left.mapInPandas(run, "cell binary, mass double, z array<double>").groupBy("cell").agg(F.sum("mass").alias("mass"), F.max_by("z", F.struct("mass", "z")).alias("z"))
+    return coarse.where(F.col("mass") >= least).groupBy("z").agg(F.max("mass").alias("mass"))
 
 
-def _grown(m: Mixture, dense: pd.DataFrame, n: int, rules: MixtureRules) -> Mixture:
-    """``m`` with a component for each dense place apart from the others, and too wide components cut in two."""
-    d = m.project.shape[1]
-    narrow = np.eye(d) * rules.floor**2 * 2
+def _company(left: DataFrame, m: Mixture, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """(mass, mean) of ``left`` within ``reach`` of each of the places ``x``."""
+    sent = left.sparkSession.sparkContext.broadcast((x, m.project))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, project = sent.value
+        sums: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            w, y = pdf["w"].to_numpy(), _matrix(pdf["z"]) @ project
+            for rows in _boxes(y):
+                part = y[rows]
+                gap = np.maximum(np.maximum(part.min(axis=0) - at, at - part.max(axis=0)), 0)
+                for j in np.flatnonzero((gap * gap).sum(axis=1) <= reach * reach):
+                    near = ((part - at[j]) ** 2).sum(axis=1) <= reach * reach
+                    if near.any():
+                        wj = w[rows[near]]
+                        got = np.concatenate([[wj.sum()], wj @ part[near]])
+                        sums[j] = sums[j] + got if j in sums else got
+        yield pd.DataFrame([(int(j), a.tolist()) for j, a in sums.items()], columns=["k", "a"])
+
+    mass, mean = np.zeros(len(x)), x.copy()
+    for j, a in _summed(left.mapInPandas(run, SUMS)).items():
+        mass[j], mean[j] = a[0], a[1:] / a[0]
+    sent.unpersist()
+    return mass, mean
+
+
+def _seeded(cells: DataFrame, m: Mixture, n: int, turn: int, radius: float, rules: MixtureRules) -> Mixture:
+    """``m`` with a component for each place apart from the others at which the noise holds a group."""
+    d, apart = m.project.shape[1], rules.apart * radius
+    left = _left_over(cells, m)
+    places = durable(_places(left, 2 * apart, turn, min(2.0, 0.8 * rules.min_members)))
+    rest = places
+    while True:
+        page = rest.orderBy(F.desc("mass"), "z").limit(rules.candidates).select("mass", "z").toPandas()
+        if not len(page):
+            return m
+        mass, x = _company(left, m, _matrix(page["z"]) @ m.project, apart / 2)
+        taken = mass < 0.8 * rules.min_members
+        for mean in m.mean:
+            taken |= ((x - mean) ** 2).sum(axis=1) <= (apart / 2) ** 2
+        seeds = []
+        for i in np.argsort(-mass, kind="stable"):
+            if not taken[i]:
+                seeds.append(i)
+                taken |= ((x - x[i]) ** 2).sum(axis=1) < apart**2
+        if seeds:
+            break
+        last, z = float(page["mass"].iloc[-1]), F.lit([float(v) for v in page["z"].iloc[-1]])
+        rest = places.where((F.col("mass") < last) | ((F.col("mass") == last) & (F.col("z") > z)))
+    share = mass[seeds] / max(n, 1)
+    share *= min(1.0, 0.5 * m.noise / share.sum())
+    narrow = np.tile(np.eye(d) * (rules.floor * radius) ** 2 * 2, (len(seeds), 1, 1))
+    return m.copy(weight=np.append(m.weight, share), mean=np.concatenate([m.mean, x[seeds]]), cov=np.concatenate([m.cov, narrow]), noise=max(m.noise - share.sum(), 1e-9))
+
+
+def _cut(m: Mixture, radius: float, rules: MixtureRules) -> Mixture:
+    """``m`` with components that are too wide cut in two."""
     weight, mean, cov = [], [], []
     for w, mu, s in zip(m.weight, m.mean, m.cov):
         value, vector = np.linalg.eigh(s)
-        if value[-1] > (2.5 * rules.floor) ** 2 and 2 * np.sqrt(value[-1]) > rules.apart / 2:
+        if np.sqrt(value[-1]) > max(2.5 * rules.floor, rules.apart / 4) * radius:
             step = np.sqrt(value[-1]) * vector[:, -1]
             less = s - 0.9 * value[-1] * np.outer(vector[:, -1], vector[:, -1])
             weight, mean, cov = [*weight, w / 2, w / 2], [*mean, mu + step, mu - step], [*cov, less, less]
         else:
             weight, mean, cov = [*weight, w], [*mean, mu], [*cov, s]
-    noise = m.noise
-    if len(dense):
-        x, mass = _matrix(dense["z"]) @ m.project, dense["mass"].to_numpy()
-        old = np.array(mean).reshape(-1, d)
-        taken = np.zeros(len(x), dtype=bool)
-        for part in m.copy(weight=np.ones(len(old))).chunks(len(x)) if len(old) else ():
-            gap = (x[part] ** 2).sum(axis=1)[:, None] - 2 * x[part] @ old.T + (old**2).sum(axis=1)
-            taken[part] = (gap <= (rules.apart / 2) ** 2).any(axis=1)
-        for i in range(len(x)):
-            if taken[i] or len(weight) >= rules.most_components:
-                continue
-            near = ((x - x[i]) ** 2).sum(axis=1) < rules.apart**2
-            taken |= near
-            if mass[near].sum() >= 0.8 * rules.min_members:
-                share = min(mass[near].sum() / max(n, 1), noise * 0.5)
-                noise -= share
-                weight, mean, cov = [*weight, share], [*mean, x[i]], [*cov, narrow]
-    return m.copy(weight=np.array(weight), mean=np.array(mean).reshape(-1, d), cov=np.array(cov).reshape(-1, d, d), noise=max(noise, 1e-9))
+    d = m.project.shape[1]
+    return m.copy(weight=np.array(weight), mean=np.array(mean).reshape(-1, d), cov=np.array(cov).reshape(-1, d, d))
+
+
+def _fitted(rows: DataFrame, m: Mixture, n: int, radius: float, rules: MixtureRules) -> Mixture:
+    """The mixture with the number of components of the least criterion among the rounds."""
+    cells = durable(_cells(rows, m, rules.cell * radius))
+    best, least, turn = m, -2 * n * m.log_noise, 0
+    while True:
+        for trial in (lambda: _seeded(cells, best, n, turn, radius, rules), lambda: _cut(best, radius, rules)):
+            grown = trial()
+            if len(grown.weight) > rules.most_components:
+                raise RuntimeError(f"more than {rules.most_components} clusters: divide the data first or raise most_components")
+            if len(grown.weight) > len(best.weight):
+                grown, score = _settled(cells, grown, n, radius, rules)
+                if score < least:
+                    best, least, turn = grown, score, turn + 1
+                    break
+        else:
+            return best
 
 
-def _criterion(m: Mixture, log_likelihood: float, n: int) -> float:
-    """The Bayesian information criterion, less is better."""
-    return -2 * log_likelihood + _parameters(m.weight * n, m.project.shape[1]).sum() * np.log(max(n, 2))
+def _middle_radius(rows: DataFrame, m: Mixture) -> float:
+    """The radius of the component that the middle row of all clustered rows lies in, from all rows; 0 without components."""
+    model = rows.sparkSession.sparkContext.broadcast(m)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mix = model.value
+        ready, k = mix.prepared(), len(mix.weight)
+        sums = np.zeros((k, 2))
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = (_matrix(pdf["v"]) - mix.centre) / mix.scale @ mix.project
+            for at, near, joint in mix.log_joint(x, ready):
+                best = joint.argmax(axis=1)
+                mine = best < len(near)
+                own = near[best[mine]]
+                far = ((x[at[mine]] - mix.mean[own]) ** 2).sum(axis=1)
+                sums += np.stack([np.bincount(own, minlength=k), np.bincount(own, far, minlength=k)], axis=1)
+        met = np.flatnonzero(sums[:, 0])
+        yield pd.DataFrame({"k": met.astype(np.int32), "a": sums[met].tolist()})
+
+    sums = np.array(list(_summed(rows.select("v").mapInPandas(run, SUMS)).values())).reshape(-1, 2)
+    if not len(sums):
+        return 0.0
+    radius = np.sqrt(sums[:, 1] / sums[:, 0])
+    order = np.argsort(radius)
+    return float(radius[order][np.searchsorted(np.cumsum(sums[order, 0]), sums[:, 0].sum() / 2)])
 
 
 def fit_mixture(rows: DataFrame, lengths: Sequence[int], rules: MixtureRules = MixtureRules()) -> Mixture:
-    """The mixture of ``rows`` (key, v) with the number of components of the least criterion among the rounds."""
-    m, n = _standard(rows, rules, lengths)
+    """The mixture of ``rows`` (key, v), fitted at the radius that its own components have."""
+    centre, scale, value, vector, n = _standard(rows, lengths)
     if not n:
-        return m
-    cells = durable(_cells(rows, m, rules))
-    best, least = m, -2 * n * m.log_noise
-    for turn in range(rules.rounds):
-        trial = _grown(best, _dense(cells, best, rules, turn), n, rules)
-        if len(trial.weight) == len(best.weight):
-            break
-        for _ in range(rules.em_passes):
-            mass, one, two, noise, _ = _em_pass(cells, trial)
-            trial = _merged(_maximised(trial, mass, one, two, noise, rules), rules)
-        score = _criterion(trial, _em_pass(cells, trial)[4], n)
-        if score >= least:
-            break
-        best, least = trial, score
-    return best
+        return _reduced(centre, scale, value, vector, 1.0, rules)
+    radius = rules.radius or _first_radius(rows, centre, scale, n, rules)
+    tried: list[float] = []
+    while True:
+        m = _fitted(rows, _reduced(centre, scale, value, vector, radius, rules), n, radius, rules)
+        seen = max(_middle_radius(rows, m), LEAST_RADIUS) if len(m.weight) else radius
+        tried.append(radius)
+        if any(2 / 3 <= seen / r <= 1.5 for r in tried):
+            return m
+        radius = seen
 
 
 def assigned(rows: DataFrame, m: Mixture) -> DataFrame:
@@ -339,13 +524,12 @@ def assigned(rows: DataFrame, m: Mixture) -> DataFrame:
             if not len(pdf):
                 continue
             x = (_matrix(pdf["v"]) - mix.centre) / mix.scale @ mix.project
-            k, top = np.empty(len(x), dtype=np.int64), np.empty(len(x))
-            for part in mix.chunks(len(x)):
-                joint = mix.log_joint(x[part], ready)
-                k[part] = joint.argmax(axis=1)
-                top[part] = joint[np.arange(len(joint)), k[part]]
-            keep = k < len(mix.weight)
-            yield pd.DataFrame({"key": pdf["key"][keep], "component": k[keep].astype(np.int32), "density": top[keep]})
+            k, top = np.full(len(x), -1, dtype=np.int32), np.zeros(len(x))
+            for at, near, joint in mix.log_joint(x, ready):
+                best = joint.argmax(axis=1)
+                k[at], top[at] = np.append(near, -1)[best], joint[np.arange(len(at)), best]
+            keep = k >= 0
+            yield pd.DataFrame({"key": pdf["key"][keep], "component": k[keep], "density": top[keep]})
 
     return rows.mapInPandas(run, f"key {kind}, component int, density double")
 

@@ -67,5 +67,40 @@ def test_density_against_the_formula():
     for w, mu, s in zip(m.weight, m.mean, m.cov):
         d = x - mu
         want = want + w * np.exp(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d)) / (2 * np.pi * np.sqrt(np.linalg.det(s)))
-    r, log = m.shares(x)
-    assert np.allclose(log, np.log(want)) and np.allclose(r.sum(axis=1), 1)
+    seen = []
+    for rows, near, r, log in m.shares(x):
+        assert np.allclose(log, np.log(want[rows])) and np.allclose(r.sum(axis=1), 1) and r.shape == (len(rows), len(near) + 1)
+        seen += rows.tolist()
+    assert sorted(seen) == list(range(50))
+
+
+def close(groups=30, members=20, seed=0):
+    """Groups of which some are near each other on the scale of the table and far on their own."""
+    rng = np.random.default_rng(seed)
+    at, kinds = rng.integers(20, 180, (groups, 6)).astype(float), rng.choice([0.5, 1.0, 2.0, 4.0], (groups, 18))
+    for g in (1, 3):
+        at[g], kinds[g] = at[g - 1], kinds[g - 1]
+        at[g, 0] += 32
+    rows, truth = [], {}
+    for g in range(groups):
+        ids = list(range(g * members + 1, (g + 1) * members + 1))
+        rows += [(k, (at[g] + rng.normal(0, 1, 6)).tolist(), kinds[g].tolist()) for k in ids]
+        truth |= {k: ids[0] for k in ids}
+    return rows, truth
+
+
+def found(spark, rows, rules=C.MixtureRules()):
+    return {r["id"]: r["cluster_id"] for r in C.Clusters(table(spark, rows), "id", [("a", 6), ("b", 18)], rules).members().collect()}
+
+
+def test_close_groups_stay_apart_however_few_places_a_round_takes(spark):
+    rows, truth = close()
+    for rules in (C.MixtureRules(), C.MixtureRules(candidates=7), C.MixtureRules(radius=0.25)):
+        assert found(spark, rows, rules) == truth
+    with pytest.raises(RuntimeError, match="most_components"):
+        found(spark, rows, C.MixtureRules(most_components=8))
+
+
+def test_thousands_of_groups(spark):
+    rows, truth = close(2200, 6, 3)
+    assert found(spark, rows) == truth
