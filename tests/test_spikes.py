@@ -75,3 +75,46 @@ def test_cases_and_repeats_in_any_block_size(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "obs_id long, station string, at timestamp_ntz, temp double")
     assert K.implausible_readings(df, "obs_id", "station", "at", ["temp"], {"temp": F.col("temp") > 60}).count() == 0
+
+
+def test_parameters_are_of_the_source_and_not_of_the_block(spark):
+    rng = np.random.default_rng(4)
+    y = np.round(15 + 3 * np.sin(np.arange(5000) * np.pi / 12) + np.where(np.arange(5000) < 4000, rng.normal(0, 2, 5000), rng.normal(0, 0.3, 5000)), 1)
+    y[4300] += 9
+    y[1000] += 40
+    y[2045:2060] = 11.1  # over the end of a span and of a block
+    data = [["A", T0 + dt.timedelta(hours=k), float(v), None] for k, v in enumerate(y)]
+    found = [judged(spark, data, K.SpikeRules(block_rows=b)) for b in (64, 4096, 8192)]
+    assert found[0] == found[1] == found[2]
+    assert {(k, "temp") for k in (1000, *range(2045, 2060))} <= found[0]
+
+
+def test_few_measured_readings_among_many_missing_ones(spark):
+    data = [["A", T0 + dt.timedelta(hours=k), 20.0 + k % 7 if k % 50 == 0 else None, None] for k in range(9000)]
+    for k in range(3000, 3000 + 50 * 13, 50):
+        data[k][2] = 33.0
+    assert judged(spark, data, K.SpikeRules(span=64, block_rows=64)) == {(k, "temp") for k in range(3000, 3000 + 50 * 13, 50)}
+
+
+def test_short_series_borrow_their_noise(spark):
+    short = [["B", T0 + dt.timedelta(hours=k), v, None] for k, v in enumerate([10.0, 10.2, 10.1, 10.0, 39.0, 10.1])]
+    assert judged(spark, short) == set()  # nothing to hold it against
+    data = rows() + short
+    assert judged(spark, data) == {(404, "temp")}
+
+
+def test_very_many_readings_in_a_day_are_cut_by_time(spark, monkeypatch):
+    data, want = planted()
+    monkeypatch.setattr(K, "UNIT_ROWS", 7)
+    assert judged(spark, data) == want
+
+
+def test_many_series_side_by_side_are_as_each_alone():
+    both = [series(300, s) for s in (1, 2)]
+    both[0][1][50] += 15
+    one = np.ones(2)
+    z, flag = K.filtered(np.array([h for h, _ in both]), np.array([y for _, y in both]), np.ones((2, 300), dtype=bool), one * 0.2, one * 0.1, one * 9, 6.0, 2, 24.0)
+    for k, (h, y) in enumerate(both):
+        alone = K.filtered(h[None], y[None], np.ones((1, 300), dtype=bool), one[:1] * 0.2, one[:1] * 0.1, one[:1] * 9, 6.0, 2, 24.0)
+        assert np.allclose(z[k], alone[0][0]) and (flag[k] == alone[1][0]).all()
+    assert flag[0, 50] and not flag[1].any()
