@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SMALL_ROWS = 200_000  # rows of a table that may be broadcast
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -22,3 +25,8 @@ def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there; survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def known(table: DataFrame) -> DataFrame:
+    """A table of ``durable`` with narrow rows, to be broadcast if it has at most SMALL_ROWS of them."""
+    return F.broadcast(table) if table.count() <= SMALL_ROWS else table

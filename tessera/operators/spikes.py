@@ -24,10 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.durable import durable
+from tessera.durable import durable, known
 
 UNIT_ROWS = 200_000  # readings of a (source, day) beyond which the day is cut into equal times
-SMALL_ROWS = 200_000  # rows of a table that may be broadcast
 PRIOR = 24  # readings below which a source borrows from all sources of the field
 LOW, HIGH, STEPS = -20, 14, 16  # powers of two of the histograms and bins of a doubling
 BINS = (HIGH - LOW) * STEPS + 2
@@ -59,11 +58,6 @@ def _bins(x: np.ndarray) -> np.ndarray:
     return np.where(x < 2.0**LOW, 0, at).astype(np.int32)
 
 
-def known(table: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if it is small."""
-    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
-
-
 def _histogram(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(counts, sums) of the absolute values in each bin; bins add up over parts of a source."""
     at = _bins(x)

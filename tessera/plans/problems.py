@@ -42,11 +42,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return packed.split_packed(table(spark, d, "films"), "film_id", "genre", value="genre_value")
+    return packed.split_packed(table(spark, d, "films"), "film_id", "genre", "origin", value="genre_value")
 
 
 def p7_delimiters(spark: SparkSession, d: str) -> DataFrame:
-    return packed.infer_delimiters(table(spark, d, "films"), "genre")
+    return packed.infer_delimiters(table(spark, d, "films"), "genre", "origin")
 
 
 QUERIES = {"p2_found": p2_found, "p2_valid": p2_valid, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_delimiters": p7_delimiters}

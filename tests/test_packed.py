@@ -54,3 +54,20 @@ def test_marks_are_inferred_for_each_source(spark):
 def test_very_long_field(spark):
     df = spark.createDataFrame([(1, ",".join(["x y"] * 50_000))], "k int, v string")
     assert P.split_packed(df, "k", "v").count() == 50_000
+
+
+def test_a_comma_is_no_delimiter_where_its_pieces_never_stand_alone(spark):
+    names = [("a", f"{x}, {y}") for x in ("Ann", "Ben", "Cy", "Di", "Ed") for y in ("Doe", "Roe", "Poe", "Moe", "Noe", "Foe", "Zoe", "Loe")]
+    values = [("b", x) for x in ("drama", "crime", "drama, crime", "crime,drama")] * 10 + [(None, "x, y"), (None, "x")]
+    df = spark.createDataFrame([(k, s, v) for k, (s, v) in enumerate(names + values)], "k int, s string, v string")
+    told = {(r["source"], r["mark"]): r["accepted"] for r in P.infer_delimiters(df, "v", "s").collect()}
+    assert told == {("a", ","): False, ("b", ","): True, ("", ","): True}
+    got = {}
+    for r in P.split_packed(df, "k", "v", "s").orderBy("k", "pos").collect():
+        got.setdefault(r["k"], []).append(r["value"])
+    assert got == {k: [v.lower()] if s == "a" else [x.strip() for x in v.split(",")] for k, (s, v) in enumerate(names + values)}
+
+
+def test_a_key_in_two_sources_comes_out_once(spark):
+    df = spark.createDataFrame([(1, "a", "x,y"), (1, "b", "x,y"), (1, None, "x,y")], "k int, s string, v string")
+    assert sorted(tuple(r) for r in P.split_packed(df, "k", "v", "s").collect()) == [(1, 1, "x"), (1, 2, "y")]
