@@ -12,28 +12,32 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.durable import durable, known
+
 # One field: quoted, with "" or \" for a quote inside, or unquoted and free of quotes and commas.
 FIELD = r'(?:"(?:[^"\\]++|""|\\"?)*+"|[^",]*+)'
 
-# Texts that stand for a missing title or plot, compared in lower case without surrounding brackets.
-PLACEHOLDERS = (
-    "n/a", "#n/a", "na", "n.a.", "n.a", "none", "null", "nan", "nil", "tbd", "tba", "t.b.d.", "t.b.a.", "unknown", "missing",
-    "undefined", "not available", "not applicable", "no title", "no plot", "untitled", "to be announced",
-    "to be determined", "#ref!", "#value!", "#name?", "#null!", "#num!", "#div/0!",
+# Marks that stand for a missing value and are no word, compared in lower case without surrounding brackets.
+MARKERS = (
+    "n/a", "#n/a", "na", "n.a.", "n.a", "null", "nan", "tbd", "tba", "t.b.d.", "t.b.a.", "undefined", "not available", "not applicable",
+    "to be announced", "to be determined", "#ref!", "#value!", "#name?", "#null!", "#num!", "#div/0!",
 )
+# Words that say the same. A name may be one of them, unless it stands in brackets; a description is never one word.
+ABSENCES = ("none", "nil", "unknown", "missing", "untitled", "no title", "no plot")
 
 MOVIE_COLUMNS = ("release_year", "title", "origin", "director", "cast_list", "genre", "wiki_page", "plot")
 
 
 @dataclass(frozen=True)
 class RecordRules:
-    """What a valid record holds: its columns, and which of them are a year or a text that must say something."""
+    """What a valid record holds: its columns, and which of them are a year or a text that must say something, as a name or a description."""
 
     columns: Sequence[str] = MOVIE_COLUMNS
     year: str | None = "release_year"
     year_from: int = 1880
     year_to: int = 2030
     required: Sequence[str] = ("title", "plot")
+    names: Sequence[str] = ("title",)
 
 
 def _led(line: Column) -> Column:
@@ -62,10 +66,15 @@ def fields(line: Column) -> Column:
     return F.transform(raw, plain)
 
 
-def says_nothing(text: Column) -> Column:
-    """True for a null or blank text, one of punctuation only, or a placeholder for a missing value."""
+def says_nothing(text: Column, name: bool = False) -> Column:
+    """True for a null or blank text, one of punctuation only, or a placeholder for a missing value.
+
+    A word such as "Unknown" is a placeholder as a description; as a ``name`` it is one only in brackets, for there are films of
+    that name.
+    """
     bare = F.lower(F.trim(F.regexp_replace(text, r"\A[\s\p{Z}\[({<]+|[\s\p{Z}\])}>]+\z", "")))
-    return F.coalesce(text.rlike(r"\A[\p{P}\p{S}\p{Z}\p{Cf}\s]*\z") | bare.isin(*PLACEHOLDERS), F.lit(True))
+    word = bare.isin(*ABSENCES) & (text.rlike(r"\A[\s\p{Z}]*[\[({<].*[\])}>][\s\p{Z}]*\z") if name else F.lit(True))
+    return F.coalesce(text.rlike(r"\A[\p{P}\p{S}\p{Z}\p{Cf}\s]*\z") | bare.isin(*MARKERS) | word, F.lit(True))
 
 
 def undecodable(text: Column) -> Column:
@@ -81,7 +90,7 @@ def _values_ok(parts: Column, rules: RecordRules) -> Column:
         ok = ok & year.rlike(r"\A[0-9]{4}\z")
         ok = ok & F.coalesce(year.try_cast("int").between(rules.year_from, rules.year_to), F.lit(False))
     for c in rules.required:
-        ok = ok & ~says_nothing(at[c]) & ~undecodable(at[c])
+        ok = ok & ~says_nothing(at[c], c in rules.names) & ~undecodable(at[c])
     return F.coalesce(ok, F.lit(False))
 
 
@@ -110,9 +119,12 @@ def diagnose(line: Column, n_columns: int) -> Column:
 def failed_records(df: DataFrame, offset: str, line: str, rules: RecordRules = RecordRules()) -> DataFrame:
     """(offset, reason) of each record that does not load.
 
-    The offsets of the strict load are subtracted from all offsets. The anti-join moves an offset and a short reason for each
-    record and never the text: the diagnosis is a projection below the exchange. Offsets must be unique; a null offset counts
-    as not loaded.
+    The offsets of the strict load are subtracted from all offsets, which moves offsets and never a text; the remainder is written
+    and only its records are read again and diagnosed, through a broadcast of their offsets where they are few. Offsets must be
+    unique; a null offset counts as not loaded, and its record has a reason by the same order.
     """
-    raw = df.select(F.col(offset), diagnose(F.col(line), len(rules.columns)).alias("reason"))
-    return raw.join(strict_load(df, offset, line, rules).select(offset), offset, "left_anti").select(offset, "reason")
+    loaded = strict_load(df, offset, line, rules).select(F.col(offset).alias("__offset"))
+    rest = durable(df.where(F.col(offset).isNotNull()).select(F.col(offset).alias("__offset")).join(loaded, "__offset", "left_anti"))
+    raw = df.select(F.col(offset).alias("__offset"), F.col(line).alias("__line"))
+    left = raw.join(known(rest), "__offset", "left_semi").unionByName(raw.where(F.col("__offset").isNull()))
+    return left.select(F.col("__offset").alias(offset), diagnose(F.col("__line"), len(rules.columns)).alias("reason"))

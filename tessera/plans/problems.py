@@ -55,13 +55,14 @@ QUERIES = {"p2_found": p2_found, "p2_valid": p2_valid, "p4_found": p4_found, "p5
 _INNER = r"""(?:[^"\\]|""|\\+"|\\+[^"\\])*"""
 _FIELD = rf"""(?:"{_INNER}"|[^",]*)"""
 _NOTHING = r"""[\p{P}\p{S}\p{Z}\p{Cf}\s]*"""
-_HOLDERS = ", ".join("'" + p.replace("'", "''") + "'" for p in records.PLACEHOLDERS)
+_LIST = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
-def _says(c: str) -> str:
+def _says(c: str, name: bool) -> str:
     bare = rf"lower(trim(regexp_replace({c}, '^[\s\p{{Z}}\[({{<]+|[\s\p{{Z}}\])}}>]+$', '', 'g')))"
     bad = r"[\x{FFFD}\x{0000}-\x{0008}\x{000B}\x{000C}\x{000E}-\x{001F}\x{007F}-\x{009F}]"
-    return f"(NOT regexp_full_match({c}, '{_NOTHING}') AND {bare} NOT IN ({_HOLDERS}) AND NOT regexp_matches({c}, '{bad}'))"
+    word = f"{bare} IN ({_LIST(records.ABSENCES)})" + (rf" AND regexp_full_match({c}, '[\s\p{{Z}}]*[\[({{<].*[\])}}>][\s\p{{Z}}]*')" if name else "")
+    return f"(NOT regexp_full_match({c}, '{_NOTHING}') AND {bare} NOT IN ({_LIST(records.MARKERS)}) AND NOT ({word}) AND NOT regexp_matches({c}, '{bad}'))"
 
 
 _PLAIN = r"""CASE WHEN x[1] = '"' THEN regexp_replace(regexp_replace(x, '^"((?s:.*))"$', '\1'), '\\"|""', '"', 'g') ELSE x END"""
@@ -74,7 +75,7 @@ WITH seen AS (
   SELECT line_id, list_transform(regexp_extract_all(',' || raw_line, ',({_FIELD})', 1), lambda x: {_PLAIN}) AS f FROM seen WHERE eight
 ), good AS (
   SELECT * FROM cut
-  WHERE regexp_full_match(f[1], '[0-9]{{4}}') AND TRY_CAST(f[1] AS INT) BETWEEN 1880 AND 2030 AND {_says("f[2]")} AND {_says("f[8]")}
+  WHERE regexp_full_match(f[1], '[0-9]{{4}}') AND TRY_CAST(f[1] AS INT) BETWEEN 1880 AND 2030 AND {_says("f[2]", True)} AND {_says("f[8]", False)}
 )
 """
 

@@ -76,3 +76,11 @@ def test_other_shapes(spark, n):
     rules = R.RecordRules(columns=[f"c{k}" for k in range(n)], year=None, required=())
     df = spark.createDataFrame([(1, ",".join("x" * n)), (2, "a,b")], "i int, v string")
     assert {r["i"] for r in R.strict_load(df, "i", "v", rules).collect()} == {1}
+
+
+def test_films_named_like_a_placeholder_load(spark):
+    lines = {1: "Unknown", 2: "None", 3: "Missing", 4: "Untitled", 5: "(missing)", 6: "[Unknown]", 7: "NaN", 8: "#REF!", 9: "n/a"}
+    rows = [(k, f"1990,{t},o,d,c,g,w,plot text") for k, t in lines.items()] + [(20 + k, f"1990,t,o,d,c,g,w,{t}") for k, t in lines.items()]
+    df = spark.createDataFrame([*rows, (None, "1990,t,o,d,c,g,w"), (None, 'x"')], "i int, v string")
+    got = [tuple(r) for r in R.failed_records(df, "i", "v").collect()]
+    assert sorted(got, key=str) == sorted([(k, "value") for k in (5, 6, 7, 8, 9, *range(21, 30))] + [(None, "columns"), (None, "quoting")], key=str)
