@@ -1,9 +1,10 @@
 """Items that appear together: stripes with a log-likelihood ratio.
 
 A stripe is the array of the items met beside one item, with counts. Tasks build stripes over all baskets they read and merge
-them before the shuffle; a stripe is cut into segments of neighbours, so no array grows without bound, and segments are merged
-by key. Items that cannot reach the wanted support or lift in any pair are left out beforehand, which loses no pair. A basket
-longer than ``CHUNK`` items is cut into chunks by hash and its pairs are made chunk by chunk on many tasks.
+them before the shuffle; a stripe is cut into segments of neighbours, so no array grows without bound, and the arrays of a segment
+are merged by key after it. Items that cannot reach the wanted support or lift in any pair are left out beforehand, which loses no
+pair. A basket longer than ``CHUNK`` items is cut into chunks by hash, and each two chunks meet under a key of their own, so the
+pairs of one basket are made on many tasks.
 """
 
 from __future__ import annotations
@@ -22,12 +23,6 @@ HELD = 3_000_000  # pairs that a task holds before it hands on its stripes
 STRIPES = "a int, seg int, nbrs array<int>, cnts array<int>"
 
 
-def replaced(df: DataFrame, item: str, alias: DataFrame, bad: str, good: str) -> DataFrame:
-    """``item`` replaced through the alias table, one step; of several replacements of an item the least counts."""
-    names = alias.where(F.col(bad).isNotNull() & F.col(good).isNotNull()).groupBy(F.col(bad).alias("__bad")).agg(F.min(good).alias("__good"))
-    return df.join(names, F.col(item) == F.col("__bad"), "left").withColumn(item, F.coalesce("__good", F.col(item))).drop("__bad", "__good")
-
-
 def _counted(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Equal keys added up."""
     order = np.argsort(keys, kind="stable")
@@ -106,6 +101,29 @@ def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _folded(parts())
 
 
+def merged(batches: Iterator[pa.RecordBatch], min_support: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, n_ab) of at least ``min_support``, from stripes in the order of (a, seg): arrays of a key are added up, and the last key
+    of a batch waits for the next one."""
+
+    def told(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        keys, n = keys[n >= min_support], n[n >= min_support]
+        b = (keys & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array(b), pa.array(n)], names=["a", "b", "n_ab"])
+
+    keys, n = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        flat, size = _lists(batch.column(2))
+        own = np.repeat(batch.column(0).to_numpy().astype(np.int64), size)
+        keys, n = _counted(np.concatenate([keys, (own << 32) | (flat.astype(np.int64) & 0xFFFFFFFF)]), np.concatenate([n, _lists(batch.column(3))[0].astype(np.int64)]))
+        a, seg = batch.column(0)[-1].as_py(), batch.column(1)[-1].as_py()
+        last = ((keys >> 32) == a) & (np.floor_divide((keys & 0xFFFFFFFF).astype(np.uint32).view(np.int32), SEGMENT) == seg)
+        yield told(keys[~last], n[~last])
+        keys, n = keys[last], n[last]
+    yield told(keys, n)
+
+
 def _xlogx(x: Column) -> Column:
     return F.when(x > 0, x * F.log(x)).otherwise(F.lit(0.0))
 
@@ -137,19 +155,13 @@ def item_pairs(df: DataFrame, basket: str, item: str, min_support: int = 20, min
     cut = kept.join(large, "u", "left").select("u", "i", F.coalesce("chunks", F.lit(1)).alias("chunks")).withColumn("chunk", F.pmod(F.xxhash64("i"), F.col("chunks")).cast("int"))
     lists = cut.groupBy("u", "chunks", "chunk").agg(F.collect_list("i").alias("items"))
     one = lists.select("items").mapInArrow(within, STRIPES)
-    parts = lists.where("chunks > 1")
-    left, right = parts.select("u", F.col("chunk").alias("c1"), F.col("items").alias("x")), parts.select("u", F.col("chunk").alias("c2"), F.col("items").alias("y"))
-    two = left.join(right, "u").where("c1 < c2").select("x", "y").mapInArrow(across, STRIPES)
-    merged = (
-        one.unionByName(two)
-        .repartition("a", "seg")
-        .select("a", "seg", F.explode(F.arrays_zip("nbrs", "cnts")).alias("e"))
-        .select("a", "seg", F.col("e.nbrs").alias("b"), F.col("e.cnts").alias("c"))
-        .groupBy("a", "seg", "b")
-        .agg(F.sum("c").alias("n_ab"))
-        .where(F.col("n_ab") >= min_support)
-    )
-    out = merged.join(items.select(F.col("i").alias("a"), F.col("n_i").alias("n_a")), "a").join(items.select(F.col("i").alias("b"), F.col("n_i").alias("n_b")), "b")
+    # Each chunk goes to the key of each pair it is in; a key holds two chunks.
+    parts = lists.where("chunks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("other <> chunk")
+    met = parts.groupBy("u", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2")).agg(F.collect_list("items").alias("l")).where(F.size("l") == 2)
+    two = met.select(F.get("l", F.lit(0)).alias("x"), F.get("l", F.lit(1)).alias("y")).mapInArrow(across, STRIPES)
+    ordered = one.unionByName(two).repartition("a", "seg").sortWithinPartitions("a", "seg")
+    stripes = ordered.mapInArrow(lambda batches: merged(batches, min_support), "a int, b int, n_ab bigint")
+    out = stripes.join(items.select(F.col("i").alias("a"), F.col("n_i").alias("n_a")), "a").join(items.select(F.col("i").alias("b"), F.col("n_i").alias("n_b")), "b")
     total = F.lit(n).cast("bigint")
     out = out.where(F.col("n_ab") * total >= F.lit(float(min_lift)) * F.col("n_a") * F.col("n_b"))
     out = out.withColumn("llr", log_likelihood_ratio(F.col("n_ab"), F.col("n_a"), F.col("n_b"), total)).where(F.col("llr") >= min_llr)

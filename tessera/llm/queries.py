@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, clusters, cooccur, distinctive, lookalike, mixing
+from tessera.operators import sets
 from tessera.sources.tables import table
 
 
@@ -22,7 +23,7 @@ def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    held = cooccur.replaced(table(spark, d, "ratings").select("user_id", "product"), "product", table(spark, d, "artist_alias"), "bad_id", "good_id")
+    held = sets.looked_up(table(spark, d, "ratings").select("user_id", "product"), "product", table(spark, d, "artist_alias"), "bad_id", "good_id")
     return cooccur.item_pairs(held, "user_id", "product", min_support=20, min_lift=10.0)
 
 
@@ -119,7 +120,20 @@ WITH told AS (
 ), heads AS (SELECT looks, min(doc_id) AS class_id FROM told GROUP BY looks)
 """
 SQL |= {
-    "p10_found": _LOOKS + "SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM told a JOIN told b ON a.looks = b.looks AND a.doc_id < b.doc_id AND a.digest <> b.digest",
+    "p10_found": _LOOKS
+    + f""", texts AS (
+  SELECT looks, digest, count(*) AS copies, min(doc_id) AS rep FROM told GROUP BY looks, digest
+), classes AS (
+  SELECT looks, (sum(copies) * sum(copies) - sum(copies * copies)) / 2 AS pairs, min(rep) AS class_id, arg_min(digest, rep) AS head
+  FROM texts GROUP BY looks HAVING count(*) > 1
+), seconds AS (
+  SELECT c.*, (SELECT min(rep) FROM texts t WHERE t.looks = c.looks AND t.rep <> c.class_id) AS second FROM classes c
+)
+SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM told a JOIN told b ON a.looks = b.looks AND a.doc_id < b.doc_id AND a.digest <> b.digest
+JOIN classes c ON c.looks = a.looks WHERE c.pairs <= {lookalike.FULL}
+UNION
+SELECT least(doc_id, o), greatest(doc_id, o) FROM (
+  SELECT t.doc_id, CASE WHEN t.digest = c.head THEN c.second ELSE c.class_id END AS o FROM told t JOIN seconds c ON c.looks = t.looks WHERE c.pairs > {lookalike.FULL})""",
     "p10_forms": _LOOKS
     + """SELECT d.doc_id, coalesce(h.class_id, d.doc_id) AS class_id, coalesce(f.text, d.text) AS form FROM documents d LEFT JOIN told t ON t.doc_id = d.doc_id LEFT JOIN heads h ON h.looks = t.looks
 LEFT JOIN documents f ON f.doc_id = h.class_id""",

@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from tessera.llm import cooccur as C
+from tessera.operators import sets
 
 
 def brute(rows, support, lift, llr=0.0):
@@ -61,4 +62,11 @@ def test_folding_in_parts(monkeypatch):
 def test_alias(spark):
     df = spark.createDataFrame([(1, 5), (1, 6), (2, None)], "u int, i int")
     alias = spark.createDataFrame([(5, 7), (5, 8), (None, 1), (7, 100)], "bad int, good int")
-    assert sorted((r["u"], r["i"] or 0) for r in C.replaced(df, "i", alias, "bad", "good").collect()) == [(1, 6), (1, 7), (2, 0)]
+    assert sorted((r["u"], r["i"] or 0) for r in sets.looked_up(df, "i", alias, "bad", "good").collect()) == [(1, 6), (1, 7), (2, 0)]
+
+
+def test_stripes_of_a_key_are_merged_over_batches():
+    keys = C._key(np.array([1, 1, 2, 1, 2]), np.array([5, 9000, 7, 5, 7]))
+    batches = [C._stripes(*C._counted(keys[p], np.ones(len(p), dtype=np.int64))) for p in ([0], [0, 3], [1], [2], [4])]
+    got = [tuple(r.values()) for b in C.merged(iter(batches), 2) for r in b.to_pylist()]
+    assert got == [(1, 5, 3), (2, 7, 2)]
