@@ -1,9 +1,9 @@
 """Mixing sources to target weights.
 
-Texts are encoded, packed into blocks of a fixed number of tokens per source, and drawn into output shards: each shard has its
-own multinomial draw of source counts (the whole parts of the expected counts are given, the rest is drawn, which keeps the
-shares close), each slot goes through a keyed pseudorandom permutation of its source's block numbers, and blocks are joined by
-number. A source is walked at most ``max_repeats`` times; slots beyond that stay empty and show in the report.
+Texts are encoded, packed into blocks of a fixed number of tokens per source, and drawn into output shards: each shard draws its
+source counts from a multinomial, each slot goes through a keyed pseudorandom permutation of its source's block numbers, and
+blocks are joined by number. A source is walked at most ``max_repeats`` times: where that does not reach its share, its weight in
+the draws is what it has, so that it is spread evenly over the shards, and the report shows what is short.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.durable import durable
+from tessera.durable import durable, known
 from tessera.llm import bpe
 
-BUCKETS = 256  # parts of a source that are numbered on their own
+PART_TEXTS, PART_TOKENS = 50_000, 20_000_000  # of a part of a source, about; parts are numbered on their own
 MOST_SOURCES = 10_000  # rows of the target table that the driver takes; more is an error
 
 
@@ -27,8 +27,8 @@ MOST_SOURCES = 10_000  # rows of the target table that the driver takes; more is
 class MixRules:
     """block_tokens: tokens of a block. shard_blocks: slots of an output shard. seed: of the draws and permutations.
 
-    total_tokens: size of the mix; None is the largest at which every source that has a text reaches its share within its
-    repeats, so that the shares come out as wanted.
+    total_tokens: wanted size of the mix; None is the size of all texts that take part. What sources are short of their shares is
+    not filled up by others.
     """
 
     block_tokens: int = 256
@@ -59,13 +59,15 @@ def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def packed_blocks(tokens: DataFrame, block_tokens: int) -> DataFrame:
+def packed_blocks(tokens: DataFrame, block_tokens: int, part_texts: int = PART_TEXTS, part_tokens: int = PART_TOKENS) -> DataFrame:
     """(source, block, n_tokens, ids): the token lists of each source end to end, cut into blocks; only a source's last is shorter.
 
-    ``tokens`` holds (doc_id, source, ids) without empty lists. Texts are numbered within parts of a source and the parts by their
-    sums, so the order of a large source is not settled by one task.
+    ``tokens`` holds (doc_id, source, ids) without empty lists. Texts are numbered within parts of a source, as many as its texts and
+    tokens need, and the parts by their sums, so no task orders more than a part.
     """
-    t = tokens.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")).withColumn("n", F.size("ids").cast("bigint"))
+    sizes = durable(tokens.groupBy("source").agg(F.count(F.lit(1)).alias("c"), F.sum(F.size("ids").cast("bigint")).alias("n")))
+    parts = sizes.select("source", F.ceil(F.greatest(F.col("c") / part_texts, F.col("n") / part_tokens, F.lit(1.0))).cast("int").alias("parts"))
+    t = tokens.join(known(parts), "source").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn("n", F.size("ids").cast("bigint")).drop("parts")
     sums = t.groupBy("source", "part").agg(F.sum("n").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select("source", "part", before.alias("start"))
@@ -87,7 +89,8 @@ class Mix:
     Texts without a source, of a source without a target, null and empty texts take no part. Texts that are the same count once,
     under their least id, so that no text is used more often than its source's ``max_repeats``, whatever its copies. Targets with
     a null source, a null or non-positive share or no repeats are reported with nothing drawn; shares are taken relative to the
-    sum over the sources that hold a text. Repeated sources in ``targets`` are an error.
+    sum over the sources that hold a text. Repeated sources in ``targets`` are an error. The counts of a source are drawn, so actual
+    shares lie around the wanted ones by the spread of a multinomial of as many slots.
     """
 
     def __init__(self, docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", rules: MixRules = MixRules(), tokenizer: str = f"{bpe.TOKENIZERS}/byte_bpe_50k.tiktoken"):
@@ -98,24 +101,26 @@ class Mix:
             raise ValueError("targets must name each source once, and at most MOST_SOURCES of them")
         table = table[table["source"].notna() & (table["target_share"] > 0) & (table["max_repeats"] > 0)]
         wanted = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")).where(F.col("source").isin(*table["source"]) & (F.length("text") > 0) & F.col("doc_id").isNotNull())
-        enc = bpe.encode(wanted.withColumn("digest", F.md5("text")), "text", "ids", tokenizer)
-        first = F.min(F.struct("doc_id", "source", "ids")).alias("t")
+        # Copies fall away before anything is encoded.
+        once = wanted.groupBy(F.md5("text").alias("digest")).agg(F.min(F.struct("doc_id", "source", "text")).alias("t")).select("t.*")
         # Written once: sizes, packing and report read the tokens again.
-        self.tokens = durable(enc.groupBy("digest").agg(first).select("t.*"))
+        self.tokens = durable(bpe.encode(once, "text", "ids", tokenizer))
         sizes = {r["source"]: r["n"] for r in self.tokens.groupBy("source").agg(F.sum(F.size("ids").cast("bigint")).alias("n")).collect()}
         table["size"] = table["source"].map(sizes).fillna(0).astype(np.int64)
         self.table = table[table["size"] > 0].sort_values("source", ignore_index=True)
-        share = self.table["target_share"] / self.table["target_share"].sum() if len(self.table) else self.table["target_share"]
-        feasible = int((self.table["size"] * self.table["max_repeats"] / share).min()) if len(self.table) else 0
-        total = feasible if rules.total_tokens is None else rules.total_tokens
-        self.slots = total // rules.block_tokens
-        self.share = share.to_numpy(dtype=float)
+        share = (self.table["target_share"] / self.table["target_share"].sum()).to_numpy(dtype=float)
+        size = self.table["size"].to_numpy(dtype=np.int64)
+        total = int(size.sum()) if rules.total_tokens is None else rules.total_tokens
+        self.wanted = dict(zip(self.table["source"], (share * total).astype(np.int64).tolist()))
+        self.blocks = -(-size // rules.block_tokens)
+        self.most = self.blocks * self.table["max_repeats"].to_numpy(dtype=np.int64)
+        slots = np.minimum(share * (total // rules.block_tokens), self.most)
+        self.slots = int(slots.sum() + 1e-6)
+        self.weight = slots / max(slots.sum(), 1e-12)
 
     def drawn(self) -> DataFrame:
         """(shard, slot, source, block, pass): one row for each filled slot, without the tokens."""
-        rules, table, share, slots = self.rules, self.table, self.share, self.slots
-        names, n_blocks = table["source"].tolist(), (-(-table["size"].to_numpy() // rules.block_tokens)).tolist()
-        most = (np.array(n_blocks, dtype=np.int64) * table["max_repeats"].to_numpy(dtype=np.int64)).tolist()
+        rules, weight, slots, names, n_blocks, most = self.rules, self.weight, self.slots, self.table["source"].tolist(), self.blocks.tolist(), self.most.tolist()
         shards = -(-slots // rules.shard_blocks)
 
         def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,11 +128,7 @@ class Mix:
                 out = []
                 for shard in pdf["id"]:
                     n = min(rules.shard_blocks, slots - shard * rules.shard_blocks)
-                    whole = np.floor(n * share + 1e-9)
-                    rest = np.maximum(n * share - whole, 0)
-                    left = int(n - whole.sum())
-                    rng = np.random.default_rng([rules.seed, shard])
-                    counts = whole + (rng.multinomial(left, rest / rest.sum()) if left > 0 and rest.sum() > 0 else 0)
+                    counts = np.random.default_rng([rules.seed, shard]).multinomial(n, weight)
                     out += [(shard, s, int(c)) for s, c in enumerate(counts) if c > 0]
                 yield pd.DataFrame(out, columns=["shard", "s", "n"])
 
@@ -167,17 +168,20 @@ class Mix:
         return self.drawn().join(packed_blocks(self.tokens, self.rules.block_tokens), ["source", "block"]).select("shard", "slot", "source", "block", "pass", "n_tokens", "ids")
 
     def shares(self) -> DataFrame:
-        """(source, target_share, actual_share, size_tokens, mixed_tokens, most_uses, max_repeats) of each target."""
+        """(source, target_share, actual_share, size_tokens, mixed_tokens, short_tokens, most_uses, max_repeats) of each target;
+        short_tokens is what its texts, repeated as often as they may be, lack of its share of the wanted size."""
         b = self.rules.block_tokens
         sizes = self.tokens.groupBy("source").agg(F.sum(F.size("ids").cast("bigint")).alias("size_tokens"))
         used = self.drawn().groupBy("source", "block").agg(F.count(F.lit(1)).alias("uses"))
         used = used.join(sizes, "source").groupBy("source").agg(
             F.sum(F.col("uses") * F.least(F.lit(b), F.col("size_tokens") - F.col("block") * b)).alias("mixed_tokens"), F.max("uses").alias("most_uses")
         )
-        out = self.targets.join(sizes, "source", "left").join(used, "source", "left")
-        mixed = F.coalesce("mixed_tokens", F.lit(0))
+        wanted = self.spark.createDataFrame(list(self.wanted.items()), "source string, wanted bigint")
+        out = self.targets.join(sizes, "source", "left").join(used, "source", "left").join(wanted, "source", "left")
+        mixed, size = F.coalesce("mixed_tokens", F.lit(0)), F.coalesce("size_tokens", F.lit(0))
         total = F.sum(mixed).over(Window.partitionBy(F.lit(1)))  # as many rows as targets
+        short = F.greatest(F.coalesce("wanted", F.lit(0)) - size * F.coalesce("max_repeats", F.lit(0)), F.lit(0)).cast("bigint")
         return out.select(
-            "source", "target_share", F.when(total > 0, mixed / total).otherwise(F.lit(0.0)).alias("actual_share"),
-            F.coalesce("size_tokens", F.lit(0)).alias("size_tokens"), mixed.alias("mixed_tokens"), F.coalesce("most_uses", F.lit(0)).cast("int").alias("most_uses"), "max_repeats",
+            "source", "target_share", F.when(total > 0, mixed / total).otherwise(F.lit(0.0)).alias("actual_share"), size.alias("size_tokens"),
+            mixed.alias("mixed_tokens"), short.alias("short_tokens"), F.coalesce("most_uses", F.lit(0)).cast("int").alias("most_uses"), "max_repeats",
         )
