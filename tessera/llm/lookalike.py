@@ -24,9 +24,12 @@ LOOKALIKES = {
     "ү": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
     # Greek
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T",
-    "Υ": "Y", "Χ": "X", "ο": "o", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "Ϳ": "J",
+    "Υ": "Y", "Χ": "X", "α": "a", "ν": "v", "ο": "o", "ρ": "p", "υ": "u", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "Ϳ": "J",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮩ": "V",
+    "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
     # Armenian, Latin and others
-    "օ": "o", "ո": "n", "ս": "u", "Օ": "O", "ɑ": "a", "ɡ": "g", "ı": "i", "ǃ": "!", "‐": "-", "‑": "-"
+    "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ѵ": "v", "Ѵ": "V", "Օ": "O", "ɑ": "a", "ɡ": "g", "ı": "i", "ǃ": "!", "‐": "-", "‑": "-"
 }
 # Spaces that look like a space.
 SPACES = "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
@@ -47,6 +50,11 @@ def _table() -> tuple[str, str]:
         base, *marks = unicodedata.normalize("NFD", chr(code))
         if marks and base in LOOKALIKES and len(latin := unicodedata.normalize("NFC", LOOKALIKES[base] + "".join(marks))) == 1:
             table[chr(code)] = latin
+    # Mathematical and other styled letters and digits, and Roman numerals of one letter, by their Unicode mapping.
+    for code in [*range(0x2100, 0x2150), *range(0x2160, 0x2180), *range(0x1D400, 0x1D800), *range(0x1FBF0, 0x1FBFA)]:
+        styled = unicodedata.decomposition(chr(code)).startswith("<font>") or 0x2160 <= code < 0x2180
+        if styled and len(plain := unicodedata.normalize("NFKC", chr(code))) == 1:
+            table[chr(code)] = LOOKALIKES.get(plain, plain)
     return "".join(table), "".join(table.values())
 
 
@@ -111,21 +119,28 @@ def consistent_form(df: DataFrame, key: str, text: str, form: str = "form", clas
     return out.select(F.col("__k").alias(key), F.when(F.col("__k").isNotNull(), F.coalesce("class_id", "rep")).alias(class_id), F.coalesce("form", "__t").alias(form))
 
 
-def lookalike_pairs(df: DataFrame, key: str, text: str, a: str = "doc_a", b: str = "doc_b", full: int = 10_000) -> DataFrame:
+FULL = 1_000_000  # pairs of a class that are all listed
+
+
+def lookalike_pairs(df: DataFrame, key: str, text: str, a: str = "doc_a", b: str = "doc_b", full: int = FULL) -> DataFrame:
     """(a, b): pairs of ids, the lesser first, whose texts look the same but are not the same characters.
 
-    Two texts with up to ``full`` pairs of copies give all of them. Beyond that each copy is paired with the least id of the other
-    text, which keeps a link between any two different texts and grows with the rows, not with their square.
+    A class of up to ``full`` such pairs gives all of them. A larger one gives each row with another text than its head (the text of
+    the class's least id) paired with the class's id, and each other row of the head's text with the least id of another text: as
+    many pairs as rows, which link any two rows of the class; ``consistent_form`` has the class of every row.
     """
     c = durable(look_classes(durable(variants(df, key, text))))
-    left = c.select("class_id", F.col("digest").alias("da"), F.col("rep").alias("ra"), F.col("copies").alias("na"))
-    right = c.select("class_id", F.col("digest").alias("db"), F.col("rep").alias("rb"), F.col("copies").alias("nb"))
-    links = left.join(right, "class_id").where("ra < rb").drop("class_id")
-    rows = df.select(F.col(key).alias("k"), F.md5(F.col(text)).alias("digest")).where(F.col("k").isNotNull() & F.col("digest").isNotNull()).distinct()
-    members = rows.join(c.where("copies > 1").select("digest"), "digest", "left_semi")
-    at_a, at_b = members.select(F.col("digest").alias("da"), F.col("k").alias("ka")), members.select(F.col("digest").alias("db"), F.col("k").alias("kb"))
-    few, lots = links.where(F.col("na") * F.col("nb") <= full), links.where(F.col("na") * F.col("nb") > full)
+    n = F.sum("copies")
+    each = c.groupBy("class_id").agg(
+        ((n * n - F.sum(F.col("copies") * F.col("copies"))) / 2).alias("pairs"), F.min_by("digest", "rep").alias("head"), F.min(F.when(F.col("rep") != F.col("class_id"), F.col("rep"))).alias("second")
+    )
     # A text in one row needs no join: that row is its least id.
-    ends = few.join(at_a, "da", "left").select("db", "rb", F.coalesce("ka", "ra").alias("x")).join(at_b, "db", "left").select("x", F.coalesce("kb", "rb").alias("y"))
-    starred = lots.join(at_a, "da").select(F.col("ka").alias("x"), F.col("rb").alias("y")).unionByName(lots.join(at_b, "db").select(F.col("ra").alias("x"), F.col("kb").alias("y"))).distinct()
-    return ends.unionByName(starred).select(F.least("x", "y").alias(a), F.greatest("x", "y").alias(b))
+    rows = df.select(F.col(key).alias("k"), F.md5(F.col(text)).alias("digest")).where(F.col("k").isNotNull() & F.col("digest").isNotNull()).distinct()
+    copied = rows.join(c.where("copies > 1").select("digest", "class_id"), "digest")
+    members = durable(c.where("copies = 1").select(F.col("rep").alias("k"), "digest", "class_id").unionByName(copied.select("k", "digest", "class_id")).join(each, "class_id"))
+    few = members.where(F.col("pairs") <= full).select("class_id", "k", "digest")
+    other = few.select("class_id", F.col("k").alias("k2"), F.col("digest").alias("digest2"))
+    listed = few.join(other, "class_id").where("k < k2 and digest <> digest2").select(F.col("k").alias("x"), F.col("k2").alias("y"))
+    star = members.where(F.col("pairs") > full).select(F.col("k").alias("x"), F.when(F.col("digest") == F.col("head"), F.col("second")).otherwise(F.col("class_id")).alias("y"))
+    starred = star.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    return listed.unionByName(starred).select(F.col("x").alias(a), F.col("y").alias(b))
