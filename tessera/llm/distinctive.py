@@ -1,8 +1,9 @@
 """How distinctive a term is for a record: term frequency times smoothed logarithmic inverse document frequency.
 
-Counts of distinct (record, term) pairs give the document frequencies, which are joined back. The commonest ``HOT_TERMS`` terms
-travel as a broadcast of exactly that many rows at most, so the shuffled join meets no term that a large part of the records
-holds; rows that the broadcast served take keys of their own through it and are spread evenly.
+Counts of distinct (record, term) pairs give the document frequencies, which are written once and joined back: as a broadcast where
+the terms are few; else the commonest ``HOT_TERMS`` terms travel as a broadcast of exactly that many rows at most, so the shuffled
+join meets no term that a large part of the records holds, and rows that the broadcast served take keys of their own through it and
+are spread evenly.
 """
 
 from __future__ import annotations
@@ -10,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_TERMS = 1000
+from tessera.durable import SMALL_ROWS, durable
+
+HOT_TERMS = 10_000
 WORD = r"\p{L}+"
 
 
@@ -26,22 +29,25 @@ def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     return cut.groupBy("__key", "n_terms", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tf_idf(df: DataFrame, key: str, text: str, hot_terms: int = HOT_TERMS) -> DataFrame:
+def tf_idf(df: DataFrame, key: str, text: str, hot_terms: int = HOT_TERMS, few_terms: int = SMALL_ROWS) -> DataFrame:
     """(key, term, tf, n_terms, df, score): score = tf / n_terms * (ln((1 + N) / (1 + df)) + 1).
 
     N is the number of records with a text. The division by the number of terms is the length normalisation: the score of a term
-    does not grow with the length of its record.
+    does not grow with the length of its record. Up to ``few_terms`` different terms travel as a broadcast.
     """
     n = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key).distinct().count()
     counts = term_counts(df, key, text)
-    spread = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    spread = durable(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    score = lambda df: F.col("tf") / F.col("n_terms") * (F.log((1.0 + n) / (1.0 + df)) + 1.0)
+    if spread.count() <= few_terms:
+        out = counts.join(F.broadcast(spread), "term")
+        return out.select(F.col("__key").alias(key), "term", "tf", "n_terms", "df", score(F.col("df")).alias("score"))
     hot = spread.orderBy(F.desc("df"), "term").limit(hot_terms).select("term", F.col("df").alias("hot_df"))
     led = counts.join(F.broadcast(hot), "term", "left")
     own = F.when(F.col("hot_df").isNull(), F.col("term")).otherwise(F.concat(F.lit("\x00"), F.col("__key").cast("string")))
     joined = led.withColumn("__on", own).join(spread.select(F.col("term").alias("__on"), "df"), "__on", "left")
     seen = F.coalesce("hot_df", "df")
-    score = F.col("tf") / F.col("n_terms") * (F.log((1.0 + n) / (1.0 + seen)) + 1.0)
-    return joined.select(F.col("__key").alias(key), "term", "tf", "n_terms", seen.alias("df"), score.alias("score"))
+    return joined.select(F.col("__key").alias(key), "term", "tf", "n_terms", seen.alias("df"), score(seen).alias("score"))
 
 
 def most_distinctive(df: DataFrame, key: str, text: str, min_words: int = 20) -> DataFrame:

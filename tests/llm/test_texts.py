@@ -15,8 +15,8 @@ def test_tf_idf_against_brute_force(spark):
     words = {k: [w.lower() for w in re.findall(r"[^\W\d_]+", v)] for k, v in PLOTS.items() if v is not None}
     spread = collections.Counter(w for ws in words.values() for w in set(ws))
     want = {(k, w): round(n / len(ws) * (math.log((1 + len(words)) / (1 + spread[w])) + 1), 9) for k, ws in words.items() for w, n in collections.Counter(ws).items()}
-    for hot in (1, 1000):
-        got = {(r["id"], r["term"]): round(r["score"], 9) for r in D.tf_idf(df, "id", "plot", hot).collect()}
+    for hot, few in ((1, 0), (1000, 0), (1, 1000)):
+        got = {(r["id"], r["term"]): round(r["score"], 9) for r in D.tf_idf(df, "id", "plot", hot, few).collect()}
         assert got == want
     assert {r["id"]: r["term"] for r in D.most_distinctive(df, "id", "plot").collect()} == {1: "the"}
     assert D.tf_idf(df.limit(0), "id", "plot").count() == 0
