@@ -7,43 +7,61 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.durable import durable
+from tessera.durable import SMALL_ROWS, durable
 from tessera.functions import numeric
 
 
 RANGES = 256
 
 
-def with_total_before(df: DataFrame, order: str, value: str, before: str, descending: bool = False) -> DataFrame:
-    """``df`` with the sum of ``value`` over all rows whose ``order`` comes before a row's own. ``order`` holds each number once.
+def with_total_before(df: DataFrame, order: str, value: str, before: str, descending: bool = False, by: str | None = None) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows, or those of the same ``by``, whose ``order`` comes before a row's own. Each
+    number stands once in ``order`` (for a ``by``); ``by`` holds few different whole numbers.
 
     Rows are cut into ranges at approximate quantiles, which decide only how even the ranges are; sums run within a range and over
     the ranges, so no task orders all rows.
     """
     df = durable(df)  # read for the quantiles, the sums of ranges and the rows
     shares = [k / RANGES for k in range(1, RANGES)]
-    cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), shares, 10_000).alias("c")).first()["c"]
-    cuts = sorted({float(c) for c in cuts or []})
-    at = F.size(F.filter(F.lit(cuts), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    ranged = df.withColumn("__range", at)
-    by = F.desc if descending else F.asc
-    ahead = Window.orderBy(by("__range")).rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows
-    start = ranged.groupBy("__range").agg(F.sum(value).alias("__sum")).select("__range", F.coalesce(F.sum("__sum").over(ahead), F.lit(0)).alias("__start"))
-    own = F.coalesce(F.sum(value).over(Window.partitionBy("__range").orderBy(by(order)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.withColumn("__own", own).join(F.broadcast(start), "__range").withColumn(before, F.col("__start") + F.col("__own")).drop("__range", "__own", "__start")
-
-
-def mean_ranks(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
-    """(key, columns): ranks of each column from 1, ties at the mean of their places.
-
-    Ranks come from counts of the distinct values, so only these are ordered, range by range.
+    group = F.col(by) if by else F.lit(0)
+    found = df.groupBy(group.cast("int").alias("g")).agg(F.percentile_approx(F.col(order).cast("double"), shares, 10_000).alias("c")).collect()
+    cuts = {r["g"]: sorted({float(c) for c in r["c"] or []}) for r in found}
+    of = F.get(F.lit([cuts.get(g) or [float("inf")] for g in range(max(cuts, default=0) + 1)]), group)
+    ranged = df.withColumn("__range", F.size(F.filter(of, lambda c: c < F.col(order))))
+    way = F.desc if descending else F.asc
+    keys = [by, "__range"] if by else ["__range"]
+    ahead = Window.partitionBy(*([by] if by else [])).orderBy(way("__range")).rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows
+    start = ranged.groupBy(*keys).agg(F.sum(value).alias("__sum")).select(*keys, F.coalesce(F.sum("__sum").over(ahead), F.lit(0)).alias("__start"))
+    own = F.coalesce(F.sum(value).over(Window.partitionBy(*keys).orderBy(way(order)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("__own", own).join(F.broadcast(start), keys).withColumn(before, F.col("__start") + F.col("__own")).drop("__range", "__own", "__start")
+
+
+def mean_ranks(df: DataFrame, columns: Sequence[str], key: str, few: int = SMALL_ROWS) -> DataFrame:
+    """(key, columns): ranks of each number column from 1, ties at the mean of their places.
+
+    Ranks come from counts of the distinct values of all columns at once, so only these are ordered, range by range. Up to ``few``
+    values are looked up by broadcasts, all columns in one stage; of more the commonest thousand of each column are, so that the
+    shuffled lookup of the rest meets no value that many rows hold.
     """
+    columns = list(columns)
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("c"), F.col(c).cast("double").alias("x")) for k, c in enumerate(columns)))).alias("e")
+    n = df.select(each).select("e.c", "e.x").where("x is not null").groupBy("c", "x").agg(F.count(F.lit(1)).alias("n"))
+    ranks = durable(with_total_before(n, "x", "n", "before", by="c").select("c", "x", "n", (F.col("before") + (F.col("n") + 1) / 2).alias("r")))
     out = df.select(key, *columns)
-    for c in columns:
-        n = df.groupBy(c).agg(F.count(F.lit(1)).alias("n")).where(F.col(c).isNotNull())
-        ranks = with_total_before(n, c, "n", "before").select(F.col(c), (F.col("before") + (F.col("n") + 1) / 2).alias(f"__{c}"))
-        out = out.join(ranks, c, "left").drop(c).withColumnRenamed(f"__{c}", c)
-    return out.select(key, *columns)
+    small = ranks.count() <= few
+    for k, c in enumerate(columns):
+        mine = ranks.where(F.col("c") == k)
+        value = F.col(c).cast("double")
+        if small:
+            out = out.join(F.broadcast(mine.select(F.col("x").alias("__x"), F.col("r").alias(f"__{k}"))), value == F.col("__x"), "left").drop("__x")
+            continue
+        hot = mine.orderBy(F.desc("n"), "x").limit(1000).select(F.col("x").alias("__x"), F.col("r").alias("__hot"))
+        led = out.join(F.broadcast(hot), value == F.col("__x"), "left").drop("__x")
+        # Rows that the broadcast served, and nulls, take keys of their own through the join.
+        own = F.when(F.col("__hot").isNull() & value.isNotNull(), value.cast("string")).otherwise(F.concat(F.lit("\x00"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.xxhash64(*columns).cast("string")))
+        rest = mine.select(F.col("x").cast("string").alias("__on"), F.col("r").alias("__rest"))
+        out = led.withColumn("__on", own).join(rest, "__on", "left").withColumn(f"__{k}", F.coalesce("__hot", "__rest")).drop("__on", "__hot", "__rest")
+    return out.select(key, *(F.col(f"__{k}").alias(c) for k, c in enumerate(columns)))
 
 
 def spearman(df: DataFrame, key: str, label: str, features: Sequence[str]) -> DataFrame:

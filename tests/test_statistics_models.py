@@ -117,3 +117,12 @@ def test_totals_before_over_ranges(spark):
     assert up == dict(zip(x[order].tolist(), total.tolist()))
     assert all(down[v] == n.sum() - up[v] - c for v, c in zip(x.tolist(), n.tolist()))
     assert S.with_total_before(df.limit(0), "x", "n", "t").count() == 0
+
+
+def test_ranks_of_many_values_are_those_of_few(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, float(rng.integers(0, 6)) if k % 9 else None, float(rng.normal())) for k in range(400)]
+    df = spark.createDataFrame(rows, "id int, a double, b double")
+    few, many = ({r["id"]: (r["a"], r["b"]) for r in S.mean_ranks(df, ["a", "b"], "id", n).collect()} for n in (10_000, 0))
+    assert few == many and len(few) == 400 and few[9] == (None, few[9][1])
+    assert S.mean_ranks(df.limit(0), ["a", "b"], "id").count() == 0
