@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,8 +36,10 @@ def split_fields(df: DataFrame, line: str, sep: str, fields: Sequence[tuple[str,
 
 
 def quoted_fields(line: Column, sep: str = ",") -> Column:
-    """The fields of a line cut at ``sep`` outside quotes; quotes are removed."""
-    raw = F.split(line, sep + r'(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    """The fields of a line cut at the character ``sep`` outside quotes; quotes are removed. An open quote goes on to the end of the
+    line. The line is walked once, however many separators it has."""
+    field = rf'(?:[^"\Q{sep}\E]|"[^"]*+(?:"|\z))*+'
+    raw = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(rf"\Q{sep}\E({field})"), F.lit(1))
     return F.transform(raw, lambda x: F.regexp_replace(F.regexp_replace(x, r'(?s)\A"(.*)"\z', "$1"), '""', '"'))
 
 
@@ -46,16 +48,21 @@ def without_header(df: DataFrame, line: str, header: str) -> DataFrame:
     return df.where(~F.col(line).eqNullSafe(F.lit(header)))
 
 
-def stitched_records(df: DataFrame, line: str, number: str, file: str | None = None, starts: str = r"\A[0-9]{4},") -> DataFrame:
+def stitched_records(df: DataFrame, line: str, number: str, file: str | None = None, starts: str = r"\A[0-9]{4},", block_lines: int = 100_000) -> DataFrame:
     """(file, record, value): physical lines put together to records that begin at a line matching ``starts``.
 
-    Lines before the first start of a file make no record. Give ``file`` to keep the numbering within a file.
+    ``number`` is the whole number of a line, or its offset, in the order of its file. Lines before the first start of a file make no
+    record. Give ``file`` to keep the numbering within a file. Starts are counted in blocks of ``block_lines`` numbers and over the
+    blocks, so one large file is many tasks.
     """
-    from pyspark.sql import Window
-
     key = F.col(file) if file else F.lit("")
-    base = df.select(key.alias("file"), F.col(number).alias("n"), F.col(line).alias("value"))
-    at = base.withColumn("record", F.sum(F.col("value").rlike(starts).cast("int")).over(Window.partitionBy("file").orderBy("n")))
+    base = df.select(key.alias("file"), F.col(number).cast("bigint").alias("n"), F.col(line).alias("value"))
+    placed = base.withColumn("block", F.floor(F.col("n") / block_lines)).withColumn("start", F.coalesce(F.col("value").rlike(starts), F.lit(False)).cast("int"))
+    before = F.sum("s").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))  # a row for each block
+    sums = placed.groupBy("file", "block").agg(F.sum("start").alias("s")).select(F.col("file").alias("f"), "block", F.coalesce(before, F.lit(0)).alias("before"))
+    own = F.sum("start").over(Window.partitionBy("file", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    led = placed.withColumn("own", own).join(sums.withColumnRenamed("block", "b"), F.col("file").eqNullSafe(F.col("f")) & (F.col("block") == F.col("b")))
+    at = led.select("file", "n", "value", (F.col("own") + F.col("before")).alias("record"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda x: x["value"]), "\n")
     return at.where("record > 0").groupBy("file", "record").agg(joined.alias("value"))
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.durable import ensure_checkpoint_dir
+from tessera.durable import removed, scratch
 from tessera.functions import text as T
 
 
@@ -25,8 +24,7 @@ def run_counts(counts: DataFrame, name: str, mode: str = "complete", interval: s
     a failure changes nothing.
     """
     spark = counts.sparkSession
-    ensure_checkpoint_dir(spark)
-    place = f"{spark.sparkContext.getCheckpointDir()}/stream-{name}-{uuid.uuid4().hex}"
+    place = scratch(spark, f"stream-{name}")
 
     def write(batch: DataFrame, k: int) -> None:
         batch.write.mode("overwrite").parquet(f"{place}/table/batch={0 if mode == 'complete' else k}")
@@ -37,6 +35,7 @@ def run_counts(counts: DataFrame, name: str, mode: str = "complete", interval: s
     if interval:
         q.processAllAvailable()
         q.stop()
+    removed(spark, f"{place}/state")  # the query has ended
     schema = counts.schema
     return spark.read.schema(schema).parquet(f"{place}/table").select(*schema.names)
 

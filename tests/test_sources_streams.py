@@ -90,3 +90,18 @@ def test_streams_equal_batch(spark, tmp_path):
     q = S.each_batch(read(), lambda b, k: seen.append(b.count()), str(tmp_path / "ck"))
     q.awaitTermination()
     assert sum(seen) == 30
+
+
+def test_quoted_fields_of_long_and_open_lines(spark):
+    f = lambda x: spark.createDataFrame([(x,)], "v string").select(R.quoted_fields(F.col("v")).alias("f")).first()["f"]
+    assert len(f(",".join(['"a,b"', "c"] * 20_000))) == 40_000
+    assert f('a,"b,c') == ["a", '"b,c'] and f("") == [""] and f(",") == ["", ""]
+    assert spark.createDataFrame([('a|"b|c"',)], "v string").select(R.quoted_fields(F.col("v"), "|").alias("f")).first()["f"] == ["a", "b|c"]
+
+
+def test_stitched_records_over_blocks_and_files(spark):
+    rows = [(f, n, f"1990,{f}{n}" if n % 7 == 0 else f"x{n}") for f in ("a", "b", None) for n in range(100)]
+    df = spark.createDataFrame(rows, "f string, n long, v string")
+    got = {(r["file"], r["record"]): r["value"] for r in R.stitched_records(df, "v", "n", "f", block_lines=10).collect()}
+    assert len(got) == 45 and got[("a", 2)] == "\n".join(["1990,a7", *(f"x{n}" for n in range(8, 14))]) and got[(None, 15)] == "1990,None98\nx99"
+    assert R.stitched_records(df.limit(0), "v", "n", "f").count() == 0
