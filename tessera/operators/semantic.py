@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +24,8 @@ class Concepts:
     values: list[float]
 
 
-def _added(df: DataFrame, size: int, parts: int = 16) -> np.ndarray:
-    """The sum of (a) arrays of ``size``: added up in ``parts`` tasks, then here."""
+def _added(df: DataFrame, size: int, tasks: int) -> np.ndarray:
+    """The sum of (a) arrays of ``size``, one from each of ``tasks`` tasks: sixteen go to one, step by step, and the last here."""
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(size)
@@ -33,7 +34,26 @@ def _added(df: DataFrame, size: int, parts: int = 16) -> np.ndarray:
                 total += np.frombuffer(x)
         yield pd.DataFrame({"a": [total.tobytes()]})
 
-    return sum((np.frombuffer(r[0]) for r in df.repartition(parts).mapInPandas(add, "a binary").collect()), np.zeros(size))
+    while tasks > 16:
+        tasks = -(-tasks // 16)
+        df = df.repartition(tasks).mapInPandas(add, "a binary")
+    return sum((np.frombuffer(r[0]) for r in df.collect()), np.zeros(size))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(terms, matrix): some documents at a time as a dense matrix over the terms they hold, from columns i and w."""
+    for batch in batches:
+        lists = batch.column(batch.schema.get_field_index("i"))
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        i, w = lists.flatten().to_numpy(zero_copy_only=False), batch.column(batch.schema.get_field_index("w")).flatten().to_numpy(zero_copy_only=False)
+        ends -= ends[0]
+        for k in range(0, batch.num_rows, rows):
+            last = min(k + rows, batch.num_rows)
+            mine = slice(ends[k], ends[last])
+            terms, at = np.unique(i[mine], return_inverse=True)
+            matrix = np.zeros((last - k, len(terms)))
+            matrix[np.repeat(np.arange(last - k), np.diff(ends[k : last + 1])), at] = w[mine]
+            yield terms, matrix
 
 
 def decomposed(weights: DataFrame, key: str, vocab_idf: DataFrame, k: int = 25, passes: int = 8, seed: int = 0) -> Concepts:
@@ -46,6 +66,7 @@ def decomposed(weights: DataFrame, key: str, vocab_idf: DataFrame, k: int = 25,
     spark = weights.sparkSession
     n_terms = vocab_idf.count()
     rows = durable(weights.groupBy(F.col(key).cast("bigint").alias(key)).agg(F.array_sort(F.collect_list(F.struct(F.col("term_id").cast("int").alias("i"), F.col("weight").alias("w")))).alias("r")).select(key, F.transform("r", lambda x: x["i"]).alias("i"), F.transform("r", lambda x: x["w"]).alias("w")))
+    tasks = rows.rdd.getNumPartitions()
     width = min(k + 10, n_terms)
     k = min(k, n_terms)
 
@@ -53,19 +74,18 @@ def decomposed(weights: DataFrame, key: str, vocab_idf: DataFrame, k: int = 25,
         """A^T A q, or with ``square`` q^T A^T A q."""
         block = spark.sparkContext.broadcast(q)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((width, width) if square else (n_terms, width))
-            for pdf in batches:
-                for i, w in zip(pdf["i"], pdf["w"]):
-                    y = w @ block.value[i]
-                    if square:
-                        total += np.outer(y, y)
-                    else:
-                        total[i] += w[:, None] * y
-            yield pd.DataFrame({"a": [total.tobytes()]})
+            for terms, matrix in _chunks(batches):
+                y = matrix @ block.value[terms]
+                if square:
+                    total += y.T @ y
+                else:
+                    total[terms] += matrix.T @ y
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], type=pa.binary())], names=["a"])
 
         shape = (width, width) if square else (n_terms, width)
-        out = _added(rows.select("i", "w").mapInPandas(run, "a binary"), shape[0] * shape[1]).reshape(shape)
+        out = _added(rows.select("i", "w").mapInArrow(run, "a binary"), shape[0] * shape[1], tasks).reshape(shape)
         block.unpersist()
         return out
 
@@ -80,11 +100,14 @@ def decomposed(weights: DataFrame, key: str, vocab_idf: DataFrame, k: int = 25,
         v = v * np.where(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])] < 0, -1.0, 1.0)
     right = spark.sparkContext.broadcast(v / s if v.size else np.zeros((n_terms, 0)))
 
-    def left(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({key: pdf[key], "u": [(w @ right.value[i]).tolist() for i, w in zip(pdf["i"], pdf["w"])]})
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u = [matrix @ right.value[terms] for terms, matrix in _chunks(iter([batch]))]
+            flat = np.concatenate(u) if u else np.empty((0, right.value.shape[1]))
+            ends = pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(key)), pa.ListArray.from_arrays(ends, pa.array(flat.ravel()))], names=[key, "u"])
 
-    documents = rows.mapInPandas(left, f"`{key}` bigint, u array<double>")
+    documents = rows.mapInArrow(left, f"`{key}` bigint, u array<double>")
     term_vectors = spark.createDataFrame([(j, [float(x) for x in row]) for j, row in enumerate(v)], "term_id int, v array<double>")
     return Concepts(documents, vocab_idf.select("term", F.col("term_id").cast("int").alias("term_id"), "idf").join(term_vectors, "term_id"), [float(x) for x in s])
 
@@ -118,6 +141,11 @@ def scaled_documents(c: Concepts, key: str) -> DataFrame:
     return c.documents.select(key, F.zip_with("u", s, lambda a, b: a * b).alias("us"))
 
 
+def query_terms(vocab_idf: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """(term, term_id, weight): the terms of a query that are in the vocabulary, each with its idf."""
+    return vocab_idf.where(F.col("term").isin(list(terms))).select("term", "term_id", F.col("idf").alias("weight"))
+
+
 def query(c: Concepts, key: str, terms: Sequence[str], n: int = 25) -> DataFrame:
     """(key, cosine): the documents nearest to the query, whose terms weigh their idf; terms outside the vocabulary count nothing."""
     wanted = c.terms.where(F.col("term").isin(list(terms))).select("idf", "v")  # at most as many rows as the query has terms

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,26 +116,25 @@ def lemmas(df: DataFrame, key: str, text: str, stop: Sequence[str] = (), shortes
 
     Texts without such a word have an empty list; null texts too.
     """
-    leave, known = frozenset(stop), {}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for words in pdf["w"]:
-                mine = []
-                for w in words if words is not None else ():
-                    if w not in known:
-                        if len(known) > 200_000:
-                            known.clear()
-                        known[w] = lemma(w)
-                    if len(known[w]) >= shortest and known[w] not in leave:
-                        mine.append(known[w])
-                out.append(mine)
-            yield pd.DataFrame({"key": pdf["key"], "lemmas": out})
+    leave = frozenset(stop)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            ends = lists.offsets.to_numpy().astype(np.int64)
+            coded = lists.flatten().dictionary_encode()
+            # Each word of a batch is looked at once, however often it stands there.
+            told = [lemma(w) for w in coded.dictionary.to_pylist()]
+            keep = np.array([len(x) >= shortest and x not in leave for x in told], dtype=bool)
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            kept = keep[codes] if len(codes) else np.zeros(0, dtype=bool)
+            upto = np.concatenate([[0], np.cumsum(kept)])[ends - ends[0]]
+            words = pa.array(told, type=pa.string()).take(pa.array(codes[kept]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), words)], names=["key", "lemmas"])
 
     words = F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\p{L}+"), F.lit(0)), F.lower)
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("key"), words.alias("w")).mapInPandas(run, f"key {kind}, lemmas array<string>").withColumnRenamed("key", key)
+    return df.select(F.col(key).alias("key"), words.alias("w")).mapInArrow(run, f"key {kind}, lemmas array<string>").withColumnRenamed("key", key)
 
 
 def term_frequency(docs: DataFrame, key: str, terms: str) -> DataFrame:

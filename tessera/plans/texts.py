@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.durable import durable
 from tessera.functions import text as T
 from tessera.operators import records, semantic
 from tessera.operators import text_counts as C
@@ -84,8 +85,9 @@ def tfidf(spark: SparkSession, d: str) -> DataFrame:
 
 def _concepts(spark: SparkSession, d: str, k: int = 25) -> semantic.Concepts:
     films = table(spark, d, "films").where("plot is not null").groupBy("film_id").agg(F.max("plot").alias("plot"))
-    tf = C.term_frequency(C.lemmas(films, "film_id", "plot", STOP), "film_id", "lemmas")
-    vocab = C.inverse_frequency(C.vocabulary(tf, 5000), films.count())
+    # Written once: the vocabulary, its size and the weights read the counts again.
+    tf = durable(C.term_frequency(C.lemmas(films, "film_id", "plot", STOP), "film_id", "lemmas"))
+    vocab = durable(C.inverse_frequency(C.vocabulary(tf, 5000), films.count()))
     return semantic.decomposed(C.weights(tf, "film_id", vocab), "film_id", vocab, k)
 
 
@@ -191,6 +193,31 @@ spread AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 vocab AS (SELECT term, df, (row_number() OVER (ORDER BY df DESC, term) - 1)::INT AS term_id FROM spread ORDER BY df DESC, term LIMIT 5000),
 weighted AS (SELECT *, ln((SELECT count(*) FROM cut)::DOUBLE / df) AS idf FROM vocab)
 """
+_IRREGULAR = ", ".join(f"('{a}', '{b}')" for a, b in C.IRREGULAR.items())
+
+
+def _stemmed(n: int) -> str:
+    """The lemma of a form that ends in ``n`` letters of -ing or -ed."""
+    x = f"left(w, length(w) - {n})"
+    last = f"right({x}, 1)"
+    return (
+        f"CASE WHEN {last} = left(right({x}, 2), 1) AND {last} NOT IN ('l', 's', 'z') THEN left({x}, length({x}) - 1) "
+        f"WHEN {last} IN ('v', 'u', 'c', 'z') OR (length({x}) = 3 AND left(right({x}, 2), 1) IN ('a', 'e', 'i', 'o', 'u') AND {last} NOT IN ('w', 'x', 'y')) THEN {x} || 'e' ELSE {x} END"
+    )
+
+
+LEMMA_COUNTS = rf"""
+WITH words AS (SELECT {_low("x")} AS w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\p{{L}}+')) AS x FROM documents) GROUP BY 1),
+told AS (
+  SELECT n, CASE WHEN l IS NOT NULL THEN l WHEN w LIKE '%ies' AND length(w) >= 5 THEN left(w, length(w) - 3) || 'y'
+    WHEN (w LIKE '%sses' OR w LIKE '%shes' OR w LIKE '%ches') AND length(w) >= 5 THEN left(w, length(w) - 2)
+    WHEN w LIKE '%xes' AND length(w) >= 4 THEN left(w, length(w) - 2) WHEN w LIKE '%ied' AND length(w) >= 5 THEN left(w, length(w) - 3) || 'y'
+    WHEN w LIKE '%ing' AND length(w) >= 6 AND regexp_matches(left(w, length(w) - 3), '[aeiouy]') THEN {_stemmed(3)}
+    WHEN w LIKE '%ed' AND length(w) >= 5 AND regexp_matches(left(w, length(w) - 2), '[aeiouy]') THEN {_stemmed(2)}
+    WHEN w LIKE '%s' AND length(w) > 3 AND NOT (w LIKE '%ss' OR w LIKE '%us' OR w LIKE '%is') THEN left(w, length(w) - 1) ELSE w END AS lemma
+  FROM words LEFT JOIN (VALUES {_IRREGULAR}) i(f, l) ON w = f
+)
+SELECT lemma, sum(n)::BIGINT AS n FROM told WHERE length(lemma) >= 3 AND lemma NOT IN ({_STOPPED}) GROUP BY 1"""
 _COUNT = "SELECT token, count(*) AS n FROM low WHERE c = '{}' {} GROUP BY token"
 _DUCK_MEASURED = _MEASURED.replace("not isnan(air_temperature)", "NOT isnan(air_temperature)")
 _EVENTS = """
