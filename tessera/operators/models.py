@@ -9,7 +9,7 @@ from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassi
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import IndexToString, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler, VectorIndexer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -206,5 +206,3 @@ def cold_start(ratings: DataFrame, new_user: int, items: Sequence[tuple[int, flo
     model = implicit_als(ratings.select("user", "item", "rating").unionByName(mine), seed=seed, **params)
     return recommended(model, mine.select("user").distinct(), n)
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["vector_to_array"]

@@ -53,10 +53,15 @@ def split_by_group(df: DataFrame, group: str, order: Sequence[str], share: float
     return df.withColumn("part", F.when(first, F.lit("train")).otherwise(F.lit("test")))
 
 
+def uniform(keys: Sequence[str], seed: int) -> Column:
+    """A number from 0 to before 1 for each row, by a hash of its keys: the same whatever the partitions, the engine and the run."""
+    told = F.md5(F.concat_ws("|", *(F.col(k).cast("string") for k in keys), F.lit(str(seed))))
+    return F.conv(F.substring(told, 1, 8), 16, 10).cast("bigint") / F.lit(float(2**32))
+
+
 def split_by_hash(df: DataFrame, keys: Sequence[str], weights: Sequence[float], seed: int = 0) -> list[DataFrame]:
     """Parts by a hash of the keys: the same rows whatever the partitions, unlike ``randomSplit``."""
-    at = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    out, low, total = [], 0.0, float(sum(weights))
+    at, out, low, total = uniform(keys, seed), [], 0.0, float(sum(weights))
     for k, x in enumerate(weights):
         high = low + x / total
         out.append(df.where((at >= low) & (F.lit(True) if k == len(weights) - 1 else at < high)))
@@ -65,9 +70,15 @@ def split_by_hash(df: DataFrame, keys: Sequence[str], weights: Sequence[float],
 
 
 def sampled(df: DataFrame, fraction: float, seed: int) -> DataFrame:
+    """Each row with the given chance, by its place in the partitions."""
     return df.sample(False, fraction, seed)
 
 
+def sampled_by_key(df: DataFrame, keys: Sequence[str], fraction: float, seed: int = 0) -> DataFrame:
+    """Each row with the given chance, by a hash of its keys, so that a sample can be taken again."""
+    return df.where(uniform(keys, seed) < fraction)
+
+
 def top_rows(df: DataFrame, k: int, *order: Column | str) -> DataFrame:
     return df.orderBy(*order).limit(k)
 

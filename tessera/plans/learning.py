@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import numeric
 from tessera.operators import models, sets, statistics
-from tessera.plans import relational
+from tessera.plans import relational, texts
 from tessera.sources.tables import table
 
 
 def _creatures(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "pokemon").dropDuplicates(["pokemon_id"]).where("size(pokemon_stats) = 6 and not exists(pokemon_stats, x -> x is null) and weight is not null and height is not null")
+    p = relational._pokemon(spark, d).where("size(pokemon_stats) = 6 and not exists(pokemon_stats, x -> x is null) and weight is not null and height is not null")
     stats = {f"stat{k}": F.get("pokemon_stats", F.lit(k)).cast("double") for k in range(6)}
     return p.withColumns(stats).select("pokemon_id", F.coalesce("type1", F.lit("none")).alias("type1"), F.coalesce(F.nullif("type2", F.lit("")), F.lit("none")).alias("type2"), F.coalesce("generation", F.lit("none")).alias("generation"), F.col("legendary").cast("string").alias("legendary"), "height", "weight", *stats)
 
 
+# The points that models are chosen among.
+GRID = {"maxDepth": [5, 10, 15], "impurity": ["entropy", "gini"], "maxBins": [20, 50, 100]}
 _NUMBERS = [*(f"stat{k}" for k in range(6)), "height", "weight"]
 
 
@@ -26,14 +33,14 @@ def _split(df: DataFrame, key: str) -> list[DataFrame]:
 def tree_cv(spark: SparkSession, d: str) -> DataFrame:
     train, _ = _split(_creatures(spark, d), "pokemon_id")
     stages = models.feature_stages(["type2", "generation"], _NUMBERS, "type1")
-    _, scores = models.cross_validated(train, stages, models.tree(1), {"maxDepth": [3, 5], "impurity": ["gini", "entropy"], "maxBins": [20]}, "accuracy", folds=3, seed=1)
+    _, scores = models.cross_validated(train, stages, models.tree(1), GRID, "accuracy", folds=5, seed=1, parallelism=8)
     return models.score_table(spark, scores)
 
 
 def forest_cv(spark: SparkSession, d: str) -> DataFrame:
     train, _ = _split(_creatures(spark, d), "pokemon_id")
     stages = models.feature_stages(["type1", "type2"], _NUMBERS, "legendary")
-    _, scores = models.cross_validated(train, stages, models.forest(1), {"numTrees": [5, 10], "maxDepth": [4]}, "auc", folds=3, seed=1)
+    _, scores = models.cross_validated(train, stages, models.forest(1), {**GRID, "numTrees": [5, 10, 20]}, "auc", folds=5, seed=1, parallelism=8)
     return models.score_table(spark, scores)
 
 
@@ -42,7 +49,7 @@ def tree_sweep(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.feature import StringIndexer, VectorAssembler
 
     stages = [StringIndexer(inputCol="type1", outputCol="label", handleInvalid="skip"), StringIndexer(inputCol="generation", outputCol="g", handleInvalid="keep"), VectorAssembler(inputCols=["g", *_NUMBERS], outputCol="raw_features")]
-    grid = [{"impurity": i, "maxDepth": x} for i in ("gini", "entropy") for x in (3, 6)]
+    grid = [{"impurity": i, "maxDepth": x, "maxBins": b} for i in ("gini", "entropy") for x in (20, 30) for b in (200, 300)]
     return models.score_table(spark, models.swept(train, test, stages, lambda p: models.indexed_tree(16, 1, **p), grid, "accuracy"))
 
 
@@ -58,7 +65,7 @@ def forest_regression(spark: SparkSession, d: str) -> DataFrame:
     w = w.select("obs_id", "obs_month", "air_temperature", *(F.col(c).cast("double").alias(c) for c in ("obs_hour", "latitude", "longitude", "elevation_dimension", "direction_angle", "speed_rate", "dew_point_temperature"))).dropna()
     train, test = w.where("obs_month <= 2"), w.where("obs_month > 2")
     names = ["obs_hour", "latitude", "longitude", "elevation_dimension", "direction_angle", "speed_rate", "dew_point_temperature"]
-    model, scores = models.cross_validated(train, models.feature_stages([], names), models.forest_regression("air_temperature", 1), {"maxDepth": [4, 6]}, "rmse", label="air_temperature", folds=3, seed=1)
+    model, scores = models.cross_validated(train, models.feature_stages([], names), models.forest_regression("air_temperature", 1), {"maxDepth": GRID["maxDepth"], "maxBins": GRID["maxBins"]}, "rmse", label="air_temperature", folds=5, seed=1, parallelism=8)
     told = model.transform(test)
     return statistics.mean_squared_error(told, "air_temperature", "prediction").withColumn("cv_rmse", F.lit(min(m for _, m in scores)))
 
@@ -67,14 +74,46 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return models.as_vector(table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "v")
 
 
+def fixed_width_scored(spark: SparkSession, d: str) -> DataFrame:
+    """The air temperature of fixed-width lines by a forest that was fitted on the lines of the months before."""
+    names = ["obs_hour", "latitude", "longitude", "elevation_dimension", "direction_angle", "speed_rate", "dew_point_temperature"]
+    w = texts.fixed_width_parse(spark, d).withColumns({c: F.col(c).cast("double") for c in names})
+    fitted = Pipeline(stages=[*models.feature_stages([], names), models.forest_regression("air_temperature", 1)]).fit(w.where("obs_month <= 2"))
+    return fitted.transform(w.where("obs_month > 2")).select("obs_id", "air_temperature", "prediction")
+
+
+def scaled_creatures(spark: SparkSession, d: str) -> DataFrame:
+    """(pokemon_id, v): weight and height scaled to 0 .. 1."""
+    c = _creatures(spark, d).select("pokemon_id", "weight", "height")
+    r = c.agg(*(f(x).alias(f"{n}_{x}") for x in ("weight", "height") for n, f in (("low", F.min), ("high", F.max)))).first()
+    return c.select("pokemon_id", F.array(*(numeric.min_max(F.col(x), F.lit(r[f"low_{x}"]), F.lit(r[f"high_{x}"])) for x in ("weight", "height"))).alias("v"))
+
+
+def kmeans_creatures(spark: SparkSession, d: str) -> DataFrame:
+    """The cost of k clusters of scaled weight and height, and whether k is the one that the elbow chooses."""
+    with _kept(models.as_vector(scaled_creatures(spark, d), "v")) as v:
+        costs = models.cost_by_k(v, range(10, 51, 10), 1)
+        return spark.createDataFrame(costs, "k int, cost double").join(models.elbow_choice(spark, costs, 1.3).select("k", F.lit(True).alias("chosen")), "k", "left").fillna(False, ["chosen"])
+
+
+@contextmanager
+def _kept(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` in the executors while models are fitted on it."""
+    df = df.persist()
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 def kmeans_elbow(spark: SparkSession, d: str) -> DataFrame:
-    v = _vectors(spark, d).cache()
-    return models.elbow_choice(spark, models.cost_by_k(v, [2, 4, 6, 8, 10, 12], 1), 1.02)
+    with _kept(_vectors(spark, d)) as v:
+        return models.elbow_choice(spark, models.cost_by_k(v, range(10, 51, 10), 1), 1.02)
 
 
 def kmeans_costs(spark: SparkSession, d: str) -> DataFrame:
-    v = _vectors(spark, d).cache()
-    return spark.createDataFrame(models.cost_by_k(v, [2, 4, 8], 1), "k int, cost double")
+    with _kept(_vectors(spark, d)) as v:
+        return spark.createDataFrame(models.cost_by_k(v, range(10, 51, 10), 1), "k int, cost double")
 
 
 def kmeans_outliers(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +124,8 @@ def kmeans_outliers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kmeans_tournament(spark: SparkSession, d: str) -> DataFrame:
-    return models.tournament(_vectors(spark, d).cache(), "v", 8, runs=2, seed=1)
+    with _kept(_vectors(spark, d)) as v:
+        return models.tournament(v, "v", 8, runs=10, seed=1)
 
 
 def _ratings(spark: SparkSession, d: str) -> DataFrame:
@@ -110,9 +150,10 @@ def als_auc(spark: SparkSession, d: str) -> DataFrame:
 def als_grid(spark: SparkSession, d: str) -> DataFrame:
     r = _ratings(spark, d)
     parts = sets.split_by_group(sets.rows_of(r, sets.active(r, "user", 10).select("user"), "user"), "user", ["item"], 0.9)
-    train, test = parts.where("part = 'train'").drop("part").cache(), parts.where("part = 'test'").cache()
-    users = test.select("user").distinct()
-    return models.als_grid(train, test, users, 200, [5, 10], [0.01], [1.0, 40.0], iterations=3, seed=1)
+    with _kept(parts) as p:
+        train, test = p.where("part = 'train'").drop("part"), p.where("part = 'test'")
+        users = test.select("user").distinct()
+        return models.als_grid(train, test, users, 200, [10, 25, 50], [1.0, 0.01, 0.001], [1.0, 10.0, 100.0], iterations=5, seed=1)
 
 
 def popular_for_users(spark: SparkSession, d: str) -> DataFrame:
@@ -128,8 +169,8 @@ def cold_start(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (tree_cv, forest_cv, tree_sweep, wrong_predictions, forest_regression, kmeans_elbow, kmeans_costs, kmeans_outliers, kmeans_tournament, als_topn, als_auc, als_grid, popular_for_users, cold_start)
+    for f in (tree_cv, forest_cv, tree_sweep, wrong_predictions, forest_regression, fixed_width_scored, kmeans_creatures, kmeans_elbow, kmeans_costs, kmeans_outliers, kmeans_tournament, als_topn, als_auc, als_grid, popular_for_users, cold_start)
 }
 SQL: dict[str, str] = {
-    "popular_for_users": relational._PLAYS.format(25) + 'SELECT "user", item, score FROM (SELECT DISTINCT "user" FROM plays ORDER BY 1 LIMIT 100), popular',
+    "popular_for_users": relational._PLAYS.format(25) + 'SELECT "user", item, score FROM (SELECT DISTINCT "user" FROM plays), popular',
 }

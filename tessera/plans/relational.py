@@ -86,7 +86,10 @@ def popularity_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pokemon(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pokemon").dropDuplicates(["pokemon_id"])
+    """One row for each id: the least of its repeats, column by column."""
+    p = table(spark, d, "pokemon")
+    rest = [c for c in p.columns if c != "pokemon_id"]
+    return p.groupBy("pokemon_id").agg(F.min(F.struct(*rest)).alias("r")).select("pokemon_id", "r.*")
 
 
 def type_union_count(spark: SparkSession, d: str) -> DataFrame:
@@ -223,7 +226,7 @@ plays AS (
 split AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY "user" ORDER BY item) <= floor(0.9 * count(*) OVER (PARTITION BY "user")) THEN 'train' ELSE 'test' END AS part FROM kept),
 popular AS (SELECT item, sum(rating)::BIGINT AS score FROM plays GROUP BY item ORDER BY score DESC, item LIMIT {})
 """
-_POKE = "WITH p AS (SELECT DISTINCT ON (pokemon_id) * FROM pokemon), s AS (SELECT pokemon_id, pokemon_name, type1, type2, list_sum(pokemon_stats)::BIGINT AS strength FROM p WHERE len(pokemon_stats) = len(list_filter(pokemon_stats, lambda x: x IS NOT NULL)))\n"
+_POKE = "WITH p AS (SELECT DISTINCT ON (pokemon_id) * FROM pokemon ORDER BY pokemon_id, pokemon_name NULLS FIRST, type1 NULLS FIRST, type2 NULLS FIRST, pokemon_stats NULLS FIRST, pokemon_effectiveness NULLS FIRST, generation NULLS FIRST, final_evo NULLS FIRST, legendary NULLS FIRST, mega NULLS FIRST, height NULLS FIRST, weight NULLS FIRST), s AS (SELECT pokemon_id, pokemon_name, type1, type2, list_sum(pokemon_stats)::BIGINT AS strength FROM p WHERE len(pokemon_stats) = len(list_filter(pokemon_stats, lambda x: x IS NOT NULL)))\n"
 _SCORED = "WITH s AS (SELECT round(l_discount * 10, 4) AS score, (l_returnflag = 'R')::INT AS label, l_suppkey FROM lineitem)\n"
 _WEATHER = "WITH w AS (SELECT * FROM weather WHERE abs(air_temperature) < 100 AND abs(dew_point_temperature) < 100 AND speed_rate < 900 AND NOT isnan(air_temperature) AND " + " AND ".join(f"{c} IS NOT NULL" for c in _FEATURES) + "),\n"
 _RANKED = _WEATHER + "r AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in ("air_temperature", *_FEATURES)) + " FROM w), rho AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(corr({c}, air_temperature), 8) AS rho FROM r" for c in _FEATURES) + ")\n"

@@ -88,3 +88,13 @@ def test_validity_and_parsing(spark):
     assert [r["m"] for r in told.collect()] == [425, 425, None, 1439, None] and [r["day"] is None for r in told.collect()] == [False, False, True, False, True]
     got = sets.valid_rows(told, ["n"], {"day": (dt.date(2021, 1, 1), dt.date(2022, 12, 31))}, ["a", "b"]).collect()
     assert [r["n"] for r in got] == [1]
+
+
+def test_samples_by_key_can_be_taken_again(spark):
+    from tessera.operators import sets
+
+    df = spark.range(5000).withColumn("x", F.col("id") % 3)
+    a, b = ({r["id"] for r in sets.sampled_by_key(d, ["id"], 0.2, 5).collect()} for d in (df, df.repartition(7)))
+    assert a == b and 850 < len(a) < 1150 and a != {r["id"] for r in sets.sampled_by_key(df, ["id"], 0.2, 6).collect()}
+    parts = sets.split_by_hash(df, ["id"], [1, 1, 2], 1)
+    assert sum(p.count() for p in parts) == 5000 and sets.sampled_by_key(df.limit(0), ["id"], 0.5).count() == 0
