@@ -7,6 +7,7 @@ accents, punctuation and digits apart and ignores invisible characters. Each cla
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.durable import durable
+from tessera.durable import durable, known
 
 # Letters of other scripts that look like a Latin letter, and that letter.
 LOOKALIKES = {
@@ -68,28 +69,63 @@ def looks(text: Column) -> Column:
 
     Only texts with combining marks pass through Python, which composes them; the others go there as nulls.
     """
-    marked = text.rlike(r"[\p{M}&&[^\x{FE00}-\x{FE0F}]]")
+    other = text.rlike(r"[^\x00-\x7F]")  # a text of ASCII only looks like itself
+    marked = other & text.rlike(r"[\p{M}&&[^\x{FE00}-\x{FE0F}]]")
     t = F.coalesce(_composed(F.when(marked, text)), text)
     t = F.regexp_replace(t, rf"({_PICTURE}\x{{FE0F}}?)\x{{200D}}(?={_PICTURE})", "$1" + JOINED)
     a, b = _table()
-    return F.translate(F.regexp_replace(t, "\r\n?", "\n"), a, b)
+    ended = lambda x: F.regexp_replace(x, "\r\n?", "\n")
+    return F.when(other, F.translate(ended(t), a, b)).otherwise(ended(text))
 
 
 def _blank(text: Column) -> Column:
     return text.rlike(r"\A[\s\p{Z}\p{Cf}\p{Cc}\x{FE00}-\x{FE0F}]*\z")
 
 
+LEAST_LETTERS = 12
+
+
+def _bases() -> tuple[str, str]:
+    """Letters and digits that the collation may find equal to an ASCII one with marks, and that one."""
+    table = {}
+    for code in range(0x80, 0x10000):
+        base = unicodedata.normalize("NFD", chr(code))[0]
+        if named := re.fullmatch(r"LATIN (SMALL|CAPITAL) LETTER ([A-Z])(?: WITH .*)?", unicodedata.name(chr(code), "")):
+            base = named[2].lower() if named[1] == "SMALL" else named[2]
+        if base.isascii() and base.isalnum():
+            table[chr(code)] = base
+    return "".join(table), "".join(table.values())
+
+
+def _bare(looks: Column) -> Column:
+    """The letters and digits of a text that are ASCII without their marks."""
+    a, b = _bases()
+    dropped = "".join(c for c in map(chr, range(0x80)) if not c.isalnum())  # more characters than replacements: the rest goes
+    bare = F.translate(looks, a + dropped, b)
+    return F.when(looks.rlike(r"[^\x00-\x7F]"), F.regexp_replace(bare, r"[^\x00-\x7F]+", "")).otherwise(bare)
+
+
 def variants(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(digest, looks, rep, copies) of each different text: its least id and how many rows hold it. Blank and null texts and null
-    ids do not count."""
+    """(digest, looks, rep, copies, skeleton) of each different text: its least id, how many rows hold it, and a hash of its base letters
+    and digits, which texts of one class share; null where these are few. Blank and null texts and
+    null ids do not count."""
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("k").isNotNull() & F.col("t").isNotNull() & ~_blank(F.col("t")))
     once = rows.groupBy(F.md5("t").alias("digest")).agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("t").alias("t"))
-    return once.select("digest", looks(F.col("t")).alias("looks"), "rep", "copies")
+    # The generators keep each step from being worked out again in the next.
+    told = once.select("digest", F.explode(F.array(looks(F.col("t")))).alias("looks"), "rep", "copies")
+    bare = told.select("*", F.explode(F.array(_bare(F.col("looks")))).alias("bare"))
+    return bare.withColumn("skeleton", F.when(F.length("bare") >= LEAST_LETTERS, F.xxhash64("bare"))).drop("bare")
 
 
 def look_classes(v: DataFrame) -> DataFrame:
     """(digest, rep, copies, class_id): the texts of ``variants`` that look like another one, with their class, whose id is the
-    least id of its texts."""
+    least id of its texts.
+
+    The collation leaves the base letters and digits what they are, so only texts that share theirs with another text can be in a class
+    with one; the others, nearly all, need no comparison under the collation.
+    """
+    shared = known(durable(v.where("skeleton is not null").groupBy("skeleton").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("skeleton")))
+    few = v.join(shared, "skeleton", "left_semi").unionByName(v.where("skeleton is null"))
     return v.sparkSession.sql(
         """
         WITH classes AS (
@@ -99,7 +135,7 @@ def look_classes(v: DataFrame) -> DataFrame:
         SELECT v.digest, v.rep, v.copies, c.class_id
         FROM {v} AS v JOIN classes AS c ON collate(v.looks, 'UNICODE') = c.form
         """,
-        v=v,
+        v=few,
     )
 
 
