@@ -200,10 +200,12 @@ def _units(readings: DataFrame, n_fields: int) -> DataFrame:
 
     def of(k: int) -> Column:
         there = F.filter("r", lambda x: x[f"y{k}"].isNotNull())
-        return F.array_sort(F.array_distinct(F.transform(there, lambda x: F.struct(x["at"].alias("at"), x[f"y{k}"].alias("y"), x[f"wrong{k}"].alias("wrong")))))
+        return F.sort_array(F.transform(there, lambda x: F.struct(x["at"].alias("at"), x[f"y{k}"].alias("y"), x[f"wrong{k}"].alias("wrong"))))
 
     each = once.select("source", "day", "slice", F.explode(F.array(*(F.struct(F.lit(k).alias("field"), of(k).alias("r")) for k in range(n_fields)))).alias("f"))
-    return each.where(F.size("f.r") > 0).select("source", "day", "slice", "f.field", F.size("f.r").alias("n"), F.col("f.r.at").alias("at"), F.col("f.r.y").alias("y"), F.col("f.r.wrong").alias("wrong"))
+    # Equal readings are neighbours now.
+    each = each.where(F.size("f.r") > 0).select("source", "day", "slice", "f.field", F.expr("filter(f.r, (x, i) -> i = 0 or x <> get(f.r, i - 1))").alias("r"))
+    return each.select("source", "day", "slice", "field", F.size("r").alias("n"), F.col("r.at").alias("at"), F.col("r.y").alias("y"), F.col("r.wrong").alias("wrong"))
 
 
 def _blocks(units: DataFrame, rules: SpikeRules) -> DataFrame:
@@ -223,7 +225,7 @@ def _blocks(units: DataFrame, rules: SpikeRules) -> DataFrame:
     end = F.least((F.col("block") + 1) * size + after - F.col("start"), F.col("n"))
     part = lambda c: F.slice(c, (begin + 1).cast("int"), (end - begin).cast("int")).alias(c)
     parts = rows.where(end > begin).select("source", "field", "block", F.struct((F.col("start") + begin).alias("first"), part("at"), part("y"), part("wrong")).alias("r"))
-    packed = parts.groupBy("source", "field", "block").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    packed = parts.groupBy("source", "field", "block").agg(F.sort_array(F.collect_list("r")).alias("r"))
     return packed.select("source", "field", "block", F.get("r", F.lit(0))["first"].alias("first"), *(F.flatten(f"r.{c}").alias(c) for c in ("at", "y", "wrong")))
 
 
@@ -425,7 +427,7 @@ def implausible_readings(
 
     found = blocks.join(figures, ["source", "field"], "left").mapInArrow(cases, "__source string, __at timestamp_ntz, __index int, __value double")
     # A reading may be in the series twice, once as wrong by another field of its row.
-    flagged = found.distinct()
+    flagged = known(durable(found.distinct()))
     value = F.coalesce(*(F.when(F.col("__index") == k, F.col(c)) for k, c in enumerate(fields)))
     told = F.get(F.lit(list(fields)), F.col("__index"))
     by_series = placed.join(flagged, ["__source", "__at"]).where(value == F.col("__value")).select("__key", told.alias("__field"))
