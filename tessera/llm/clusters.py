@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ class MixtureRules:
     settle: float = 1e-4
     candidates: int = 2000
     most_components: int = 8192
-    probes: int = 256
+    probes: int = 64
     radius: float | None = None
 
 
@@ -136,8 +137,27 @@ def complete_vectors(df: DataFrame, key: str, arrays: Sequence[tuple[str, int]])
     return df.where(ok).select(F.col(key).alias("key"), F.concat(*parts).alias("v")).groupBy("key").agg(F.min("v").alias("v"))
 
 
-def _matrix(s: pd.Series) -> np.ndarray:
-    return np.array(s.tolist(), dtype=float)
+def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """A column of arrays of one length as a matrix."""
+    lists = batch.column(batch.schema.get_field_index(name))
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+
+
+def _lists(x: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as arrays."""
+    x = np.ascontiguousarray(x, dtype=float)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
+def _sums(k: np.ndarray | list, a: np.ndarray | list) -> pa.RecordBatch:
+    """(k, a) as a batch of ``SUMS``."""
+    if isinstance(a, list):
+        return pa.RecordBatch.from_arrays([pa.array(k, type=pa.int32()), pa.array(a, type=pa.list_(pa.float64()))], names=["k", "a"])
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(k, dtype=np.int32)), _lists(a)], names=["k", "a"])
 
 
 def _summed(df: DataFrame) -> dict[int, np.ndarray]:
@@ -157,15 +177,15 @@ def _standard(rows: DataFrame, lengths: Sequence[int]) -> tuple[np.ndarray, np.n
     """
     width = sum(lengths)
 
-    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, one, two = 0, np.zeros(width), np.zeros((width, width))
-        for pdf in batches:
-            if len(pdf):
-                x = _matrix(pdf["v"])
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch, "v")
                 n, one, two = n + len(x), one + x.sum(axis=0), two + x.T @ x
-        yield pd.DataFrame({"k": [0], "a": [np.concatenate([[n], one, two.ravel()]).tolist()]})
+        yield _sums([0], np.concatenate([[n], one, two.ravel()])[None])
 
-    a = _summed(rows.select("v").mapInPandas(moments, SUMS)).get(0, np.zeros(1 + width + width * width))
+    a = _summed(rows.select("v").mapInArrow(moments, SUMS)).get(0, np.zeros(1 + width + width * width))
     n = int(a[0])
     centre = a[1 : width + 1] / max(n, 1)
     cov = a[width + 1 :].reshape(width, width) / max(n, 1) - np.outer(centre, centre)
@@ -189,28 +209,25 @@ def _reduced(centre: np.ndarray, scale: np.ndarray, value: np.ndarray, vector: n
 def _first_radius(rows: DataFrame, centre: np.ndarray, scale: np.ndarray, n: int, rules: MixtureRules) -> float:
     """The radius of a group as some rows see it: each probe's distances to all rows, counted by size, stand still where its group
     ends. Probes without such a place (loners) have no say; if none has one the radius is a quarter of a standard deviation."""
-    probes = _matrix(rows.orderBy(F.xxhash64("key"), "key").limit(rules.probes).select("v").toPandas()["v"])
+    probes = np.array([r["v"] for r in rows.orderBy(F.xxhash64("key"), "key").limit(rules.probes).select("v").collect()])
     sent = rows.sparkSession.sparkContext.broadcast((probes - centre) / scale)
     low, bins = -10 * STEPS, 16 * STEPS
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = sent.value
-        count, square = np.zeros((len(z), bins)), np.zeros((len(z), bins))
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = (_matrix(pdf["v"]) - centre) / scale
+        count, square = np.zeros(len(z) * bins), np.zeros(len(z) * bins)
+        for batch in batches:
+            x = (_matrix(batch, "v") - centre) / scale if batch.num_rows else np.empty((0, len(centre)))
             for i in range(0, len(x), 4096):
                 part = x[i : i + 4096]
-                for j in range(len(z)):
-                    far = ((part - z[j]) ** 2).sum(axis=1)
-                    at = np.clip(np.ceil(np.log2(np.maximum(far, 1e-12)) * STEPS / 2) - low, 0, bins - 1).astype(np.int64)
-                    count[j] += np.bincount(at, minlength=bins)
-                    square[j] += np.bincount(at, far, minlength=bins)
-        yield pd.DataFrame({"k": np.arange(len(z)), "a": np.concatenate([count, square], axis=1).tolist()})
+                far = np.maximum((part * part).sum(axis=1)[:, None] - 2 * part @ z.T + (z * z).sum(axis=1), 1e-12)
+                at = np.clip(np.ceil(np.log2(far) * (STEPS / 2)) - low, 0, bins - 1).astype(np.int64) + np.arange(len(z)) * bins
+                count += np.bincount(at.ravel(), minlength=len(count))
+                square += np.bincount(at.ravel(), far.ravel(), minlength=len(count))
+        yield _sums(np.arange(len(z)), np.concatenate([count.reshape(len(z), bins), square.reshape(len(z), bins)], axis=1))
 
     found = []
-    for a in _summed(rows.select("v").mapInPandas(measure, SUMS)).values():
+    for a in _summed(rows.select("v").mapInArrow(measure, SUMS)).values():
         within, square = np.cumsum(a[:bins]), np.cumsum(a[bins:])
         at = np.flatnonzero((within[:-STEPS] >= rules.min_members) & (within[STEPS:] <= 0.9 * n))
         if len(at):
@@ -239,14 +256,14 @@ def _em_pass(cells: DataFrame, m: Mixture) -> tuple[np.ndarray, np.ndarray, np.n
     k, d = len(m.weight), m.project.shape[1]
     upper = np.triu_indices(d)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mix = model.value
         ready = mix.prepared()
         sums: dict[int, np.ndarray] = {-1: np.zeros(2)}
-        for pdf in batches:
-            if not len(pdf):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            w, x = pdf["w"].to_numpy(), _matrix(pdf["z"]) @ mix.project
+            w, x = _column(batch, "w"), _matrix(batch, "z") @ mix.project
             for rows, near, r, log in mix.shares(x, ready):
                 r *= w[rows, None]
                 sums[-1] += [r[:, -1].sum(), (w[rows] * log).sum()]
@@ -256,9 +273,9 @@ def _em_pass(cells: DataFrame, m: Mixture) -> tuple[np.ndarray, np.ndarray, np.n
                         rj, xj = r[at, i], x[rows[at]]
                         got = np.concatenate([[rj.sum()], rj @ xj, ((xj * rj[:, None]).T @ xj)[upper]])
                         sums[j] = sums[j] + got if j in sums else got
-        yield pd.DataFrame([(int(j), a.tolist()) for j, a in sums.items()], columns=["k", "a"])
+        yield _sums(list(sums), list(sums.values()))
 
-    sums = _summed(cells.mapInPandas(run, SUMS))
+    sums = _summed(cells.mapInArrow(run, SUMS))
     model.unpersist()
     mass, one, two = np.zeros(k), np.zeros((k, d)), np.zeros((k, d, d))
     for j, a in sums.items():
@@ -347,32 +364,39 @@ def _left_over(cells: DataFrame, m: Mixture) -> DataFrame:
     """(w, z) of the cells in which the noise holds mass, and how much."""
     model = cells.sparkSession.sparkContext.broadcast(m)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mix = model.value
         ready = mix.prepared()
-        for pdf in batches:
-            if len(pdf):
-                left = pdf["w"].to_numpy().copy()
-                for rows, _, r, _ in mix.shares(_matrix(pdf["z"]) @ mix.project, ready):
+        for batch in batches:
+            if batch.num_rows:
+                left, z = _column(batch, "w").copy(), _matrix(batch, "z")
+                for rows, _, r, _ in mix.shares(z @ mix.project, ready):
                     left[rows] *= r[:, -1]
-                yield pd.DataFrame({"w": left, "z": pdf["z"]})[left > 0.5]
+                yield pa.RecordBatch.from_arrays([pa.array(left[left > 0.5]), _lists(z[left > 0.5])], names=["w", "z"])
 
-    return durable(cells.mapInPandas(run, "w double, z array<double>"))
+    return durable(cells.mapInArrow(run, "w double, z array<double>"))
 
 
 def _places(left: DataFrame, width: float, turn: int, least: float) -> DataFrame:
     """(mass, z) of the places where ``left`` may hold a group: coarse cells of four shifted grids that hold at least ``least``, with
     their heaviest fine cell."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                z = _matrix(pdf["z"])
-                for g in range(4):
-                    cell = np.floor(z / width + np.random.default_rng([turn, g]).random(z.shape[1])).astype(np.int32)
-                    yield pd.DataFrame({"cell": [bytes([g]) + c.tobytes() for c in cell], "mass": pdf["w"], "z": pdf["z"]})
-
-    coarse = left.mapInPandas(run, "cell binary, mass double, z array<double>").groupBy("cell").agg(F.sum("mass").alias("mass"), F.max_by("z", F.struct("mass", "z")).alias("z"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            z, w = _matrix(batch, "z"), _column(batch, "w")
+            for g in range(4):
+                at = np.floor(z / width + np.random.default_rng([turn, g]).random(z.shape[1])).astype(np.int32)
+                # The cells of a batch are added up before they go on.
+                cell, of = np.unique(at, axis=0, return_inverse=True)
+                heaviest = np.zeros(len(cell), dtype=np.int64)
+                order = np.lexsort((*z.T[::-1], w))
+                heaviest[of.ravel()[order]] = order
+                names = pa.array([bytes([g]) + c.tobytes() for c in cell], type=pa.binary())
+                yield pa.RecordBatch.from_arrays([names, pa.array(np.bincount(of.ravel(), w, minlength=len(cell))), pa.array(w[heaviest]), _lists(z[heaviest])], names=["cell", "mass", "top", "z"])
+
+    coarse = left.mapInArrow(run, "cell binary, mass double, top double, z array<double>").groupBy("cell").agg(F.sum("mass").alias("mass"), F.max_by("z", F.struct("top", "z")).alias("z"))
     return coarse.where(F.col("mass") >= least).groupBy("z").agg(F.max("mass").alias("mass"))
 
 
@@ -380,13 +404,13 @@ def _company(left: DataFrame, m: Mixture, x: np.ndarray, reach: float) -> tuple[
     """(mass, mean) of ``left`` within ``reach`` of each of the places ``x``."""
     sent = left.sparkSession.sparkContext.broadcast((x, m.project))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, project = sent.value
         sums: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            if not len(pdf):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            w, y = pdf["w"].to_numpy(), _matrix(pdf["z"]) @ project
+            w, y = _column(batch, "w"), _matrix(batch, "z") @ project
             for rows in _boxes(y):
                 part = y[rows]
                 gap = np.maximum(np.maximum(part.min(axis=0) - at, at - part.max(axis=0)), 0)
@@ -396,10 +420,10 @@ def _company(left: DataFrame, m: Mixture, x: np.ndarray, reach: float) -> tuple[
                         wj = w[rows[near]]
                         got = np.concatenate([[wj.sum()], wj @ part[near]])
                         sums[j] = sums[j] + got if j in sums else got
-        yield pd.DataFrame([(int(j), a.tolist()) for j, a in sums.items()], columns=["k", "a"])
+        yield _sums(list(sums), list(sums.values()))
 
     mass, mean = np.zeros(len(x)), x.copy()
-    for j, a in _summed(left.mapInPandas(run, SUMS)).items():
+    for j, a in _summed(left.mapInArrow(run, SUMS)).items():
         mass[j], mean[j] = a[0], a[1:] / a[0]
     sent.unpersist()
     return mass, mean
@@ -415,7 +439,7 @@ def _seeded(cells: DataFrame, m: Mixture, n: int, turn: int, radius: float, rule
         page = rest.orderBy(F.desc("mass"), "z").limit(rules.candidates).select("mass", "z").toPandas()
         if not len(page):
             return m
-        mass, x = _company(left, m, _matrix(page["z"]) @ m.project, apart / 2)
+        mass, x = _company(left, m, np.array(page["z"].tolist()) @ m.project, apart / 2)
         taken = mass < 0.8 * rules.min_members
         for mean in m.mean:
             taken |= ((x - mean) ** 2).sum(axis=1) <= (apart / 2) ** 2
@@ -471,14 +495,14 @@ def _middle_radius(rows: DataFrame, m: Mixture) -> float:
     """The radius of the component that the middle row of all clustered rows lies in, from all rows; 0 without components."""
     model = rows.sparkSession.sparkContext.broadcast(m)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mix = model.value
         ready, k = mix.prepared(), len(mix.weight)
         sums = np.zeros((k, 2))
-        for pdf in batches:
-            if not len(pdf):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            x = (_matrix(pdf["v"]) - mix.centre) / mix.scale @ mix.project
+            x = (_matrix(batch, "v") - mix.centre) / mix.scale @ mix.project
             for at, near, joint in mix.log_joint(x, ready):
                 best = joint.argmax(axis=1)
                 mine = best < len(near)
@@ -486,9 +510,9 @@ def _middle_radius(rows: DataFrame, m: Mixture) -> float:
                 far = ((x[at[mine]] - mix.mean[own]) ** 2).sum(axis=1)
                 sums += np.stack([np.bincount(own, minlength=k), np.bincount(own, far, minlength=k)], axis=1)
         met = np.flatnonzero(sums[:, 0])
-        yield pd.DataFrame({"k": met.astype(np.int32), "a": sums[met].tolist()})
+        yield _sums(met, sums[met])
 
-    sums = np.array(list(_summed(rows.select("v").mapInPandas(run, SUMS)).values())).reshape(-1, 2)
+    sums = np.array(list(_summed(rows.select("v").mapInArrow(run, SUMS)).values())).reshape(-1, 2)
     if not len(sums):
         return 0.0
     radius = np.sqrt(sums[:, 1] / sums[:, 0])
@@ -517,21 +541,21 @@ def assigned(rows: DataFrame, m: Mixture) -> DataFrame:
     model = rows.sparkSession.sparkContext.broadcast(m)
     kind = rows.schema["key"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mix = model.value
         ready = mix.prepared()
-        for pdf in batches:
-            if not len(pdf):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            x = (_matrix(pdf["v"]) - mix.centre) / mix.scale @ mix.project
+            x = (_matrix(batch, "v") - mix.centre) / mix.scale @ mix.project
             k, top = np.full(len(x), -1, dtype=np.int32), np.zeros(len(x))
             for at, near, joint in mix.log_joint(x, ready):
                 best = joint.argmax(axis=1)
                 k[at], top[at] = np.append(near, -1)[best], joint[np.arange(len(at)), best]
-            keep = k >= 0
-            yield pd.DataFrame({"key": pdf["key"][keep], "component": k[keep], "density": top[keep]})
+            keep = pa.array(k >= 0)
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("key")), pa.array(k), pa.array(top)], names=["key", "component", "density"]).filter(keep)
 
-    return rows.mapInPandas(run, f"key {kind}, component int, density double")
+    return rows.mapInArrow(run, f"key {kind}, component int, density double")
 
 
 class Clusters:
