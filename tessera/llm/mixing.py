@@ -79,7 +79,7 @@ def packed_blocks(tokens: DataFrame, block_tokens: int, part_texts: int = PART_T
     begin = F.greatest(F.col("block") * size - F.col("at"), F.lit(0))
     end = F.least((F.col("block") + 1) * size - F.col("at"), F.col("n"))
     cut = pieces.select("source", "block", (F.col("at") + begin).alias("at"), F.slice("ids", (begin + 1).cast("int"), (end - begin).cast("int")).alias("ids"))
-    blocks = cut.groupBy("source", "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias("ids"))
+    blocks = cut.groupBy("source", "block").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias("ids"))
     return blocks.select("source", "block", F.size("ids").alias("n_tokens"), "ids")
 
 
