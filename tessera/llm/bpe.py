@@ -168,6 +168,7 @@ def encode(df: DataFrame, text: str, ids: str = "ids", path: str = f"{TOKENIZERS
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _ENCODERS.get(id(ranks.value))
         if enc is None:
+            _ENCODERS.clear()  # a worker serves one vocabulary at a time
             enc = _ENCODERS[id(ranks.value)] = Encoder(ranks.value, pattern)
         for batch in batches:
             flat, ends = array("i"), [0]
