@@ -52,6 +52,13 @@ def word_stripes_m5(spark: SparkSession, d: str) -> DataFrame:
     return C.stripe_counts(_lines(spark, d), m=5)
 
 
+def word_stripe_maps(spark: SparkSession, d: str) -> DataFrame:
+    """The neighbours of each word and number as one map, told in the order of the neighbour."""
+    stripes = C.as_stripes(word_stripes_m5(spark, d))
+    told = F.transform(F.sort_array(F.map_entries("stripe")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return stripes.select("token", F.size("stripe").alias("n_neighbours"), F.md5(F.array_join(told, "|")).alias("stripe"))
+
+
 def word_stripes_same_class(spark: SparkSession, d: str) -> DataFrame:
     return C.stripe_counts(_lines(spark, d), m=5, lowercase=True, same_class=True)
 
@@ -123,19 +130,33 @@ def quoted_csv_parse(spark: SparkSession, d: str) -> DataFrame:
     return of.select("line_id", *(F.get("f", F.lit(k)).alias(c) for k, c in ((1, "title"), (5, "genre"), (7, "plot"))))
 
 
-_MEASURED = "air_temperature <> 999.9 and not isnan(air_temperature) and abs(air_temperature) < 999 and abs(dew_point_temperature) <= 999.9 and speed_rate between 0 and 999.9 and direction_angle between 0 and 999 and elevation_dimension between -999 and 9999 and ceiling_height_dimension between 0 and 99999 and distance_dimension between 0 and 999999 and latitude is not null and longitude is not null"
+_SHAPED = "elevation_dimension between -999 and 9999 and latitude is not null and longitude is not null and obs_year is not null and obs_month is not null and obs_day is not null and obs_hour is not null"
 
 
-def fixed_width_parse(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "weather").where(_MEASURED)
-    tenth = lambda c: F.round(F.col(c) * 10).cast("int")
-    thousandth = lambda c: F.round(F.col(c) * 1000).cast("int")
+def _weather_lines(spark: SparkSession, d: str) -> DataFrame:
+    """(obs_id, line): readings as fixed-width records; what is missing or does not fit stands as the sentinel of its field."""
+    w = table(spark, d, "weather").where(_SHAPED)
+    fit = lambda c, low, high, none: F.when(F.col(c).between(low, high), F.col(c)).otherwise(F.lit(none))
+    scaled = lambda c, by, low, high, none: F.when(F.round(F.col(c) * by).between(low, high), F.round(F.col(c) * by)).otherwise(F.lit(none)).cast("int")
     line = F.format_string(
         "000000000000000%04d%02d%02d%02d000%+06d%+07dFM-15%+05d000000000%03d1N%04d1%05d100%06d1N1%+05d1%+05d1",
-        "obs_year", "obs_month", "obs_day", "obs_hour", thousandth("latitude"), thousandth("longitude"), "elevation_dimension", "direction_angle",
-        tenth("speed_rate"), "ceiling_height_dimension", "distance_dimension", tenth("air_temperature"), tenth("dew_point_temperature"),
+        "obs_year", "obs_month", "obs_day", "obs_hour", F.round(F.col("latitude") * 1000).cast("int"), F.round(F.col("longitude") * 1000).cast("int"),
+        "elevation_dimension", fit("direction_angle", 0, 999, 999), scaled("speed_rate", 10, 0, 9998, 9999), fit("ceiling_height_dimension", 0, 99998, 99999),
+        fit("distance_dimension", 0, 999998, 999999), scaled("air_temperature", 10, -9989, 9989, 9999), scaled("dew_point_temperature", 10, -9989, 9989, 9999),
     )
-    return readers.weather_records(w.select("obs_id", line.alias("line")), "line", keep=["obs_id"])
+    return w.select("obs_id", line.alias("line"))
+
+
+def fixed_width_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Records whose air temperature is measured; the sentinels of the other fields stay as values."""
+    return readers.weather_records(_weather_lines(spark, d), "line", keep=["obs_id"])
+
+
+def fixed_width_measured(spark: SparkSession, d: str) -> DataFrame:
+    """The same records without sentinels: null, and -1 for whole numbers."""
+    return readers.weather_records(_weather_lines(spark, d), "line", drop_sentinels=True, keep=["obs_id"]).select(
+        "obs_id", "speed_rate", "dew_point_temperature", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("direction_angle", "ceiling_height_dimension", "distance_dimension"))
+    )
 
 
 def _event_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -163,8 +184,8 @@ def json_field(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (word_count, number_count, word_count_top, stopword_top1000, stopword_top1000_numbers, word_pairs_m5, word_stripes_m5, word_stripes_same_class, doc_tf, doc_df, idf, tfidf,
-              lsa_topics, lsa_documents, lsa_genres, lsa_query, lemmas, hashtag_counts, quoted_csv_parse, fixed_width_parse, safe_parse_good, safe_parse_bad, json_field)
+    for f in (word_count, number_count, word_count_top, stopword_top1000, stopword_top1000_numbers, word_pairs_m5, word_stripes_m5, word_stripe_maps, word_stripes_same_class, doc_tf, doc_df, idf, tfidf,
+              lsa_topics, lsa_documents, lsa_genres, lsa_query, lemmas, hashtag_counts, quoted_csv_parse, fixed_width_parse, fixed_width_measured, safe_parse_good, safe_parse_bad, json_field)
 }
 
 
@@ -219,7 +240,18 @@ told AS (
 )
 SELECT lemma, sum(n)::BIGINT AS n FROM told WHERE length(lemma) >= 3 AND lemma NOT IN ({_STOPPED}) GROUP BY 1"""
 _COUNT = "SELECT token, count(*) AS n FROM low WHERE c = '{}' {} GROUP BY token"
-_DUCK_MEASURED = _MEASURED.replace("not isnan(air_temperature)", "NOT isnan(air_temperature)")
+_FIXED = f"""
+WITH f AS (
+  SELECT obs_id, obs_year, obs_month, obs_day, obs_hour, round(latitude * 1000) / 1000 AS latitude, round(longitude * 1000) / 1000 AS longitude, elevation_dimension,
+    CASE WHEN direction_angle BETWEEN 0 AND 999 THEN direction_angle ELSE 999 END AS direction_angle,
+    CASE WHEN round(speed_rate * 10) BETWEEN 0 AND 9998 THEN round(speed_rate * 10) ELSE 9999 END / 10 AS speed_rate,
+    CASE WHEN ceiling_height_dimension BETWEEN 0 AND 99998 THEN ceiling_height_dimension ELSE 99999 END AS ceiling_height_dimension,
+    CASE WHEN distance_dimension BETWEEN 0 AND 999998 THEN distance_dimension ELSE 999999 END AS distance_dimension,
+    CASE WHEN round(dew_point_temperature * 10) BETWEEN -9989 AND 9989 THEN round(dew_point_temperature * 10) ELSE 9999 END / 10 AS dew_point_temperature,
+    CASE WHEN round(air_temperature * 10) BETWEEN -9989 AND 9989 THEN round(air_temperature * 10) ELSE 9999 END / 10 AS air_temperature
+  FROM weather WHERE {_SHAPED}
+)
+"""
 _EVENTS = """
 WITH l AS (
   SELECT event_id, ts, event_type, event_id % 7 = 0 AS bad, value::DECIMAL(18,3) AS v,
@@ -235,6 +267,9 @@ SQL = {
     "stopword_top1000_numbers": _LINES + _COUNT.format("number", "") + " ORDER BY n DESC, token LIMIT 1000",
     "word_pairs_m5": _LINES + "SELECT a.raw || ':' || b.raw AS pair, count(*) AS n FROM tagged a JOIN tagged b ON a.id = b.id AND b.pos > a.pos AND b.pos <= a.pos + 5 AND a.c = b.c GROUP BY 1",
     "word_stripes_m5": _LINES + "SELECT lower(a.raw) AS token, " + _low("b.raw") + " AS nbr, count(*) AS n FROM tagged a JOIN tagged b ON a.id = b.id AND a.pos <> b.pos AND b.pos BETWEEN a.pos - 5 AND a.pos + 5 WHERE a.c IS NOT NULL GROUP BY 1, 2",
+    "word_stripe_maps": _LINES
+    + ", s AS (SELECT lower(a.raw) AS token, " + _low("b.raw") + """ AS nbr, count(*) AS n FROM tagged a JOIN tagged b ON a.id = b.id AND a.pos <> b.pos AND b.pos BETWEEN a.pos - 5 AND a.pos + 5 WHERE a.c IS NOT NULL GROUP BY 1, 2)
+SELECT token, count(*)::INT AS n_neighbours, md5(string_agg(nbr || '=' || n, '|' ORDER BY nbr)) AS stripe FROM s GROUP BY 1""",
     "word_stripes_same_class": _LINES
     + r""", lt AS (SELECT id, pos, lower(raw) AS raw, CASE WHEN regexp_full_match(lower(raw), '[a-z_-]+') THEN 'word' WHEN regexp_full_match(lower(raw), '[0-9]+(\.[0-9]+)?') THEN 'number' END AS c FROM toks)
 SELECT a.raw AS token, b.raw AS nbr, count(*) AS n FROM lt a JOIN lt b ON a.id = b.id AND a.pos <> b.pos AND b.pos BETWEEN a.pos - 5 AND a.pos + 5 AND a.c = b.c GROUP BY 1, 2""",
@@ -244,9 +279,10 @@ SELECT a.raw AS token, b.raw AS nbr, count(*) AS n FROM lt a JOIN lt b ON a.id =
     "tfidf": _TF + "SELECT doc_id, tf.term, term_id, round(idf * tf / n_terms, 9) AS weight FROM tf JOIN weighted ON tf.term = weighted.term",
     "hashtag_counts": r"SELECT hashtag, count(*) AS n FROM (SELECT lower(unnest(regexp_extract_all(text, '#[\p{L}\p{N}_]+'))) AS hashtag FROM documents) GROUP BY hashtag ORDER BY n DESC, hashtag LIMIT 1000",
     "quoted_csv_parse": problems._PARSED + "SELECT line_id, f[2] AS title, f[6] AS genre, f[8] AS plot FROM cut",
-    "fixed_width_parse": f"""SELECT obs_id, obs_year, obs_month, obs_day, obs_hour, round(latitude * 1000) / 1000 AS latitude, round(longitude * 1000) / 1000 AS longitude,
-  elevation_dimension, direction_angle, round(speed_rate * 10) / 10 AS speed_rate, ceiling_height_dimension, distance_dimension, round(dew_point_temperature * 10) / 10 AS dew_point_temperature,
-  round(air_temperature * 10) / 10 AS air_temperature FROM weather WHERE {_DUCK_MEASURED}""",
+    "fixed_width_parse": _FIXED + "SELECT * FROM f WHERE air_temperature <> 999.9",
+    "fixed_width_measured": _FIXED
+    + """SELECT obs_id, CASE WHEN direction_angle = 999 THEN -1 ELSE direction_angle END AS direction_angle, nullif(speed_rate, 999.9) AS speed_rate, CASE WHEN ceiling_height_dimension = 99999 THEN -1 ELSE ceiling_height_dimension END AS ceiling_height_dimension,
+  CASE WHEN distance_dimension = 999999 THEN -1 ELSE distance_dimension END AS distance_dimension, nullif(dew_point_temperature, 999.9) AS dew_point_temperature FROM f WHERE air_temperature <> 999.9""",
     "safe_parse_good": _EVENTS + "SELECT event_id, date_trunc('second', ts) AS ts, event_type, v::DOUBLE AS value FROM l WHERE NOT bad",
     "safe_parse_bad": _EVENTS + "SELECT line, 'value' AS failed FROM l WHERE bad",
     "json_field": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
