@@ -63,13 +63,14 @@ def cross_validated(df: DataFrame, stages: Sequence, estimator, grid: dict[str,
     The features are prepared once for all folds and points; only the estimator is fitted again.
     """
     prepared = Pipeline(stages=list(stages)).fit(df)
-    data = prepared.transform(df).select("features", label)
+    data = prepared.transform(df).select("features", label).persist()
     builder = ParamGridBuilder()
     for k, v in grid.items():
         builder = builder.addGrid(estimator.getParam(k), list(v))
     points = builder.build()
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=points, evaluator=EVALUATORS[metric](label), numFolds=folds, seed=seed, parallelism=parallelism)
     fitted = cv.fit(data)
+    data.unpersist()
     scores = [({p.name: x for p, x in point.items()}, float(m)) for point, m in zip(points, fitted.avgMetrics)]
     return PipelineModel(stages=[*prepared.stages, fitted.bestModel]), scores
 

@@ -54,19 +54,15 @@ class KdSplits:
         step = lambda n, _: F.when(F.get(at, F.get(dims, n)) <= F.get(cuts, n), 2 * n + 1).otherwise(2 * n + 2).cast("int")
         return F.aggregate(F.sequence(F.lit(1), F.lit(self.depth)), F.lit(0), step) - (2**self.depth - 1)
 
-    def touched(self, low: Sequence[float], high: Sequence[float]) -> list[int]:
-        """The leaves that a box touches."""
-        inner, out, stack = 2**self.depth - 1, [], [0]
-        while stack:
-            n = stack.pop()
-            if n >= inner:
-                out.append(n - inner)
-                continue
-            if low[self.dim[n]] <= self.cut[n]:
-                stack.append(2 * n + 1)
-            if high[self.dim[n]] > self.cut[n]:
-                stack.append(2 * n + 2)
-        return sorted(out)
+    def touched(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) of each leaf that the box of a row touches; the boxes go down the tree together."""
+        rows, nodes = np.arange(len(low)), np.zeros(len(low), dtype=np.int64)
+        for _ in range(self.depth):
+            d, cut = self.dim[nodes], self.cut[nodes]
+            left, right = low[rows, d] <= cut, high[rows, d] > cut
+            rows, nodes = np.concatenate([rows[left], rows[right]]), np.concatenate([2 * nodes[left] + 1, 2 * nodes[right] + 2])
+        order = np.lexsort((nodes, rows))
+        return rows[order], nodes[order] - (2**self.depth - 1)
 
 
 def unit_vector(lon: Column, lat: Column) -> tuple[Column, Column, Column]:
@@ -225,18 +221,21 @@ def points_at_places(
 
     def copied(batches):
         for pdf in batches:
-            out = []
-            for p in pdf.itertuples(index=False):
-                if p[0] is None:
-                    continue
-                if p[1] is not None:
-                    box = _box_of(polygons(p[1]))
-                    if box:
-                        out += [(p[0], p[1], None, None, None, leaf) for leaf in tree.touched(*box)]
-                elif np.isfinite([p[2], p[3], p[4]]).all() and p[4] >= 0 and abs(p[3]) <= 90 and abs(p[2]) <= 180:
-                    c, r = _unit(p[2], p[3]), float(chord(p[4])) + 1e-12
-                    out += [(p[0], None, p[2], p[3], p[4], leaf) for leaf in tree.touched(c - r, c + r)]
-            yield pd.DataFrame(out, columns=["__place", "__boundary", "__clon", "__clat", "__radius", "__leaf"])
+            pdf = pdf[pdf["p"].notna()].reset_index(drop=True)
+            low, high = np.full((len(pdf), 3), np.inf), np.full((len(pdf), 3), -np.inf)
+            ball = pdf["b"].isna().to_numpy()
+            lon, lat, radius = (pdf[c].to_numpy(dtype=float) for c in ("x", "y", "r"))
+            fair = ball & np.isfinite(lon) & np.isfinite(lat) & np.isfinite(radius) & (radius >= 0) & (np.abs(lat) <= 90) & (np.abs(lon) <= 180)
+            c, r = _unit(lon[fair], lat[fair]), (chord(radius[fair]) + 1e-12)[:, None]
+            low[fair], high[fair] = c - r, c + r
+            for k in np.flatnonzero(~ball):
+                if box := _box_of(polygons(pdf["b"][k])):
+                    low[k], high[k] = box
+            some = np.flatnonzero(np.isfinite(low[:, 0]))
+            rows, leaf = tree.touched(low[some], high[some])
+            out = pdf.iloc[some[rows]].reset_index(drop=True)
+            out.columns = ["__place", "__boundary", "__clon", "__clat", "__radius"]
+            yield out.assign(__leaf=leaf.astype(np.int32))
 
     places = None
     if zones is not None:
