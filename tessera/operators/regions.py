@@ -11,13 +11,12 @@ from tessera.operators.places import points_at_places, polygons
 
 
 def region_table(zones: DataFrame, name: str, code: str, region: str, boundary: str) -> DataFrame:
-    """(name, region, priority, boundary): regions numbered from 0 by code and falling area of the outer rings.
+    """(name, region, priority, boundary): regions with what orders them, the code and then the falling area. No task orders all.
 
     A null or unreadable boundary has no area and contains nothing.
     """
     import numpy as np
     import pandas as pd
-    from pyspark.sql import Window
 
     def areas(batches):
         for pdf in batches:
@@ -34,7 +33,7 @@ def region_table(zones: DataFrame, name: str, code: str, region: str, boundary:
 
     base = zones.select(F.col(name).cast("string").alias("name"), F.col(region).cast("string").alias("region"), F.col(code).cast("int").alias("code"), F.col(boundary).alias("boundary"))
     sized = base.mapInPandas(areas, "name string, region string, code int, boundary string, area double")
-    return sized.withColumn("priority", F.row_number().over(Window.orderBy("code", F.desc("area"), "name")) - 1)
+    return sized.withColumn("priority", F.struct("code", (-F.col("area")).alias("smaller"), "name"))
 
 
 def region_of(points: DataFrame, keys: list[str], lon: str, lat: str, regions: DataFrame) -> DataFrame:

@@ -214,7 +214,7 @@ spread AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 vocab AS (SELECT term, df, (row_number() OVER (ORDER BY df DESC, term) - 1)::INT AS term_id FROM spread ORDER BY df DESC, term LIMIT 5000),
 weighted AS (SELECT *, ln((SELECT count(*) FROM cut)::DOUBLE / df) AS idf FROM vocab)
 """
-_IRREGULAR = ", ".join(f"('{a}', '{b}')" for a, b in C.IRREGULAR.items())
+_IRREGULAR = ", ".join(f"'{a}': '{b}'" for a, b in C.IRREGULAR.items())
 
 
 def _stemmed(n: int) -> str:
@@ -227,18 +227,15 @@ def _stemmed(n: int) -> str:
     )
 
 
-LEMMA_COUNTS = rf"""
-WITH words AS (SELECT {_low("x")} AS w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\p{{L}}+')) AS x FROM documents) GROUP BY 1),
-told AS (
-  SELECT n, CASE WHEN l IS NOT NULL THEN l WHEN w LIKE '%ies' AND length(w) >= 5 THEN left(w, length(w) - 3) || 'y'
+_LEMMA = f"""coalesce(MAP {{{_IRREGULAR}}}[w], CASE WHEN w LIKE '%ies' AND length(w) >= 5 THEN left(w, length(w) - 3) || 'y'
     WHEN (w LIKE '%sses' OR w LIKE '%shes' OR w LIKE '%ches') AND length(w) >= 5 THEN left(w, length(w) - 2)
     WHEN w LIKE '%xes' AND length(w) >= 4 THEN left(w, length(w) - 2) WHEN w LIKE '%ied' AND length(w) >= 5 THEN left(w, length(w) - 3) || 'y'
     WHEN w LIKE '%ing' AND length(w) >= 6 AND regexp_matches(left(w, length(w) - 3), '[aeiouy]') THEN {_stemmed(3)}
     WHEN w LIKE '%ed' AND length(w) >= 5 AND regexp_matches(left(w, length(w) - 2), '[aeiouy]') THEN {_stemmed(2)}
-    WHEN w LIKE '%s' AND length(w) > 3 AND NOT (w LIKE '%ss' OR w LIKE '%us' OR w LIKE '%is') THEN left(w, length(w) - 1) ELSE w END AS lemma
-  FROM words LEFT JOIN (VALUES {_IRREGULAR}) i(f, l) ON w = f
-)
-SELECT lemma, sum(n)::BIGINT AS n FROM told WHERE length(lemma) >= 3 AND lemma NOT IN ({_STOPPED}) GROUP BY 1"""
+    WHEN w LIKE '%s' AND length(w) > 3 AND NOT (w LIKE '%ss' OR w LIKE '%us' OR w LIKE '%is') THEN left(w, length(w) - 1) ELSE w END)"""
+_WORDS = rf"list_transform(regexp_extract_all(coalesce(text, ''), '\p{{L}}+'), lambda x: {_low('x')})"
+_LEMMAS = f"SELECT doc_id, list_filter(list_transform({_WORDS}, lambda w: {_LEMMA}), lambda l: length(l) >= 3 AND l NOT IN ({_STOPPED})) AS lemmas FROM documents"
+LEMMA_COUNTS = f"SELECT lemma, count(*) AS n FROM (SELECT unnest(lemmas) AS lemma FROM ({_LEMMAS})) GROUP BY 1"
 _COUNT = "SELECT token, count(*) AS n FROM low WHERE c = '{}' {} GROUP BY token"
 _FIXED = f"""
 WITH f AS (
@@ -277,6 +274,7 @@ SELECT a.raw AS token, b.raw AS nbr, count(*) AS n FROM lt a JOIN lt b ON a.id =
     "doc_df": _TF + "SELECT * FROM spread",
     "idf": _TF + "SELECT term, df, term_id, round(idf, 9) AS idf FROM weighted",
     "tfidf": _TF + "SELECT doc_id, tf.term, term_id, round(idf * tf / n_terms, 9) AS weight FROM tf JOIN weighted ON tf.term = weighted.term",
+    "lemmas": _LEMMAS,
     "hashtag_counts": r"SELECT hashtag, count(*) AS n FROM (SELECT lower(unnest(regexp_extract_all(text, '#[\p{L}\p{N}_]+'))) AS hashtag FROM documents) GROUP BY hashtag ORDER BY n DESC, hashtag LIMIT 1000",
     "quoted_csv_parse": problems._PARSED + "SELECT line_id, f[2] AS title, f[6] AS genre, f[8] AS plot FROM cut",
     "fixed_width_parse": _FIXED + "SELECT * FROM f WHERE air_temperature <> 999.9",
