@@ -127,3 +127,25 @@ def test_mix_of_nothing(spark):
         assert m.rows().count() == 0 and m.shares().count() == t.count()
     with pytest.raises(ValueError):
         M.Mix(docs, targets.unionAll(targets))
+
+
+def test_short_sources_stop_at_their_repeats_and_are_reported(spark):
+    docs, targets = corpus(spark)
+    m = M.Mix(docs, targets, rules=M.MixRules(block_tokens=8, shard_blocks=16))
+    told = {r["source"]: r for r in m.shares().collect()}
+    size = sum(r["size_tokens"] for r in told.values())
+    for s, r in told.items():
+        lacks = max(0, int(r["target_share"] / 0.95 * size) - r["size_tokens"] * r["max_repeats"]) if r["size_tokens"] else 0
+        assert abs(r["short_tokens"] - lacks) <= 1 and r["most_uses"] <= r["max_repeats"]
+    assert told["copies"]["short_tokens"] > 0 and told["small"]["short_tokens"] > 0 and told["big"]["short_tokens"] == 0
+    # What a short source has lies in early and late shards alike.
+    shards = [r["shard"] for r in m.rows().collect() if r["source"] == "small"]
+    last = -(-m.slots // 16) - 1
+    assert min(shards) < last / 4 and max(shards) > last * 3 / 4
+
+
+def test_parts_of_a_source_do_not_change_its_tokens(spark):
+    docs, _ = corpus(spark)
+    t = B.encode(docs.where("length(text) > 0 and source is not null").select("doc_id", "source", "text"), "text")
+    few, many = (collections.Counter((r["source"], i) for r in M.packed_blocks(t, 16, n).collect() for i in r["ids"]) for n in (50_000, 7))
+    assert few == many
