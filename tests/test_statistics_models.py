@@ -126,3 +126,21 @@ def test_ranks_of_many_values_are_those_of_few(spark):
     few, many = ({r["id"]: (r["a"], r["b"]) for r in S.mean_ranks(df, ["a", "b"], "id", n).collect()} for n in (10_000, 0))
     assert few == many and len(few) == 400 and few[9] == (None, few[9][1])
     assert S.mean_ranks(df.limit(0), ["a", "b"], "id").count() == 0
+
+
+def test_a_sweep_fits_few_rows_in_one_task(spark, monkeypatch):
+    rows = [(k, float(k % 10), float(k % 3), float(k % 10 > 4)) for k in range(120)]
+    df = spark.createDataFrame(rows, "id int, x double, z double, label double").repartition(6)
+    seen = []
+
+    class Tree(M.DecisionTreeClassifier):
+        def _fit(self, dataset):
+            seen.append(dataset.rdd.getNumPartitions())
+            return super()._fit(dataset)
+
+    monkeypatch.setattr(M, "DecisionTreeClassifier", Tree)
+    stages = [M.VectorAssembler(inputCols=["x", "z"], outputCol="raw_features")]
+    out = M.swept(df, df, stages, lambda p: M.indexed_tree(16, 1, **p), [{"maxDepth": 0}, {"maxDepth": 4}], "accuracy")
+    assert seen == [1, 1] and out == [({"maxDepth": 4}, 1.0), ({"maxDepth": 0}, 0.5)]
+    monkeypatch.setattr(M, "TOGETHER", 100)
+    assert M.together(df).rdd.getNumPartitions() == 6
